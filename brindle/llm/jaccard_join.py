@@ -6,14 +6,18 @@ size and the smallest doc_id that links reach.  It is exact.
 
 1. Equal sets collapse to one class under a 128-bit digest of the set.
 2. Only few n-grams of a document are indexed.  With an order over all n-grams
-   that every document shares, two documents that link have a common n-gram
-   among the first n - ceil(t n) + 1 of each (a bound from the sizes).  The order
-   puts n-grams that many documents share last (``heavy``; any choice of them
-   keeps the result, a good one makes lists short), else it follows their hash.
+   that every document shares, two documents that link have at least m common
+   n-grams among the first n - ceil(t n) + m of each (a bound from the sizes);
+   m is ceil(n / 20) for the smaller one.  The order puts n-grams that many documents share last
+   (``heavy``; any choice of them keeps the result, a good one makes lists
+   short), else it follows their hash.  A document that shares fewer of its
+   indexed n-grams than the smallest possible partner asks for links with none and is done.
 3. The documents of an n-gram share a pivot, the smallest class among them: a
-   partial minimum, so a frequent n-gram is no hot group.  Two documents with a
-   common indexed n-gram have a common pivot, so the documents of one pivot form
-   a block of the incidence matrix in which all their links are found.
+   partial minimum, so a frequent n-gram is no hot group.  Of the common n-grams
+   of two documents that link, one pivot has at least the m-th part divided by
+   the number of a document's pivots, so a document stays in the block of a
+   pivot only if it has that many n-grams there.  The documents of one pivot form
+   a block of the incidence matrix; all links are found in such blocks.
 4. A block of the matrix is multiplied with its transpose in slices of n-gram
    columns.  Overlap counts accumulate; after each slice, pairs that cannot
    reach the overlap that their sizes ask for are discarded.  Of the links, a
@@ -60,6 +64,11 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield first, len(offsets) - 1, rows, value
 
 
+def _least(n):
+    """How many indexed n-grams are shared with each document that links and has at least as many n-grams."""
+    return -(-n // 20)
+
+
 def _heavy(docs: DataFrame, k: int, least: int = 32) -> np.ndarray:
     """Hashes of n-grams that many documents have: local counts, summed; at most HEAVY."""
 
@@ -114,7 +123,7 @@ def _documents(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> Data
                 sums = [total(kernels.mix(value + np.uint64(c))) for c in (1, 2)]
                 order = np.lexsort((last, row)) if last.any() else slice(None)  # stable: by hash within each part
                 value = value[order]
-                keep = np.arange(len(value)) - np.repeat(bounds[:-1], n) <= np.repeat(n - -(-percent * n // 100), n)
+                keep = np.arange(len(value)) - np.repeat(bounds[:-1], n) <= np.repeat(n - -(-percent * n // 100) + _least(n) - 1, n)
                 kept = np.bincount(row[keep], minlength=rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept)).astype(np.int32)), pa.array(value[keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), lists], names=["doc_id", "n_shingles", "s1", "s2", "indexed"])
@@ -260,14 +269,23 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = T
     classes = materialise(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")), "classes")
 
     posted = named.select("doc_id", F.explode("indexed").alias("h"))
-    pivots = posted.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most")).filter("pivot <> most").select("h", "pivot")
+    pivots = posted.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most")).filter("pivot <> most").select("h")
+    shared = materialise(posted.join(pivots, "h"), "shared")
     of_ids = named.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "class"), ["s1", "s2"]).select("doc_id", "class").distinct()
     of_ids = materialise(of_ids.filter("doc_id <> class"), "copies")
-    members = posted.join(pivots, "h").select("doc_id", "pivot").distinct()
-    members = _to_class(_to_class(members, of_ids, "doc_id"), of_ids, "pivot").distinct()
+    single = shared.join(small(of_ids.select("doc_id").distinct()), "doc_id", "left_anti")
+    sizes = named.groupBy("doc_id").agg(F.min("n_shingles").alias("least"))
+    # Copies are left out, so an n-gram may now have one document; such n-grams count for nothing.
+    twice = single.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most")).filter("pivot <> most").select("h", "pivot")
+    counted = single.join(twice, "h").groupBy("doc_id", "pivot").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("doc_id")
+    counted = counted.withColumn("all", F.sum("c").over(whole)).withColumn("pivots", F.count("*").over(whole)).join(sizes, "doc_id")
+    # A partner has at least percent / 100 of a document's n-grams, and a part of those in common.
+    need = F.ceil(F.ceil(F.col("least") * percent / 100) / 20)
+    members = counted.filter((F.col("all") >= need) & (F.col("c") * F.col("pivots") >= need)).select("doc_id", "pivot")
     members = materialise(members, "members")
 
-    groups = materialise(members.groupBy("pivot").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("m")).filter("n > 1"), "groups")
+    groups = materialise(members.groupBy("pivot").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
     members = materialise(members.join(small(groups), "pivot").select("pivot", "doc_id", "n"), "blocks")
     edges = materialise(_within(docs, members, k, percent, tile), "edges1")
     repeats = of_ids.select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
@@ -281,12 +299,6 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = T
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _to_class(df: DataFrame, of_ids: DataFrame, column: str) -> DataFrame:
-    """Replace ids of copies by the id of their class."""
-    names = small(of_ids.groupBy("doc_id").agg(F.min("class").alias("class"))).select(F.col("doc_id").alias("c_id"), "class")
-    return df.join(names, F.col(column) == F.col("c_id"), "left").withColumn(column, F.coalesce("class", column)).drop("c_id", "class")
-
-
 def _within(docs: DataFrame, members: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
     """Edges inside each block, or inside each tile of a large block (with the block's pivot in each tile)."""
     tiles = F.ceil(F.col("n") / tile)
