@@ -252,13 +252,11 @@ def _placed(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Number the distinct keys 0, 1, ... by way of range partitions; no single task sees them all."""
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    distinct = df.select(*keys).distinct()
-    spread = materialise(distinct.repartition(n, *keys).withColumn("p", F.spark_partition_id()).withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(*keys))), "numbers")
-    # part = i * n + p is unique; small i come first in every partition, so pmod deals evenly.
-    return spread.select(*keys, (F.col("i").cast("long") * n + F.col("p")).alias("part"))
+    """Number the distinct keys so that the numbers modulo the partitions deal them evenly; no single task sees all keys."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = df.select(*keys).distinct().withColumn("p", F.pmod(F.xxhash64(*keys), F.lit(n)))
+    spread = materialise(spread.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(*keys))), "numbers")
+    return spread.select(*keys, (F.col("i").cast("long") * n + F.pmod(F.col("p") + F.col("i"), F.lit(n))).alias("part"))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
