@@ -10,7 +10,7 @@ One output folder holds, for each shard k:
     manifest.parquet  (shard, base, n_docs, n_tokens, width): base is the number
                     of ids in all shards before, by prefix sum
 
-Documents are range-partitioned and sorted by (doc_id, text), so shards and the
+Documents are range-partitioned and sorted by (doc_id, a hash of the text, text), so shards and the
 documents in them ascend.  Each task encodes its texts in bounded batches and
 streams them to files under a name of its own attempt, which it then renames:
 a task that is run again, after a lost executor, writes the same bytes.  The
@@ -18,6 +18,11 @@ folder must be one that all executors share (``spark.checkpoint.dir`` by
 default); any file system that ``pyarrow.fs`` knows will do.  Local paths are
 memory-mapped for reading, others are read by range.
 
+Byte-level tokenizers with the usual pattern never join a space, or a line end,
+to what stands before it when a word follows, nor a stop to a letter before it.  For these, texts are cut there,
+each distinct piece of a batch is encoded once, and the ids are gathered; the
+result is that of whole texts.  Other tokenizers encode whole texts.
+
 Cases: a null or empty text has only the end id.  A null doc_id comes first.
 Repeated ids and rows are kept as separate documents.  An empty table gives a
 manifest without shards.  A text longer than a batch is a batch of its own.
@@ -25,6 +30,8 @@ manifest without shards.  A text longer than a batch is a batch of its own.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import uuid
 import zlib
@@ -36,9 +43,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import kernels
 from .shared import materialise, new_path
 
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
 
 
 def _filesystem(uri: str):
@@ -69,6 +77,97 @@ def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+#: Pieces whose ids a worker keeps between batches.
+KEPT_PIECES = 1_500_000
+
+#: Bytes that can follow a cut: printable ASCII, and first bytes of characters of which none is white space.
+_AFTER = kernels.class_table((0x21, 0x7E), (0xC3, 0xDF), (0xE4, 0xF4))
+_INK = kernels.class_table((0x21, 0x7E))
+_LETTER = kernels.class_table((0x41, 0x5A), (0x61, 0x7A))
+_STOP = kernels.class_table((0x2C, 0x2C), (0x2E, 0x2E))
+
+
+def _cuts_hold(encoder) -> bool:
+    """Whether ids of pieces are those of the whole text: byte level, the usual pattern, nothing else."""
+    parts = json.loads(encoder.to_str())
+    first = parts.get("pre_tokenizer") or {}
+    plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+    model = parts["model"]
+    ordinary = model.get("type") == "BPE" and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("dropout")
+    added = all(not any(x.isspace() for x in t["content"]) and not t["lstrip"] and not t["rstrip"] for t in parts.get("added_tokens", []))
+    return bool(plain and ordinary and added and not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding"))
+
+
+class _Pieces:
+    """Encodes batches of texts by their distinct pieces."""
+
+    def __init__(self, encoder, end_id: int, dtype: str) -> None:
+        self.encoder, self.end, self.dtype = encoder, end_id, dtype
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.empty(0, np.uint64)
+        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, self.dtype)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows with their end ids, number of ids of each row)."""
+        n_rows = len(offsets) - 1
+        begins = np.zeros(len(data) + 1, bool)
+        if len(data):
+            after = _AFTER[data[1:]]
+            begins[1:-1] = (data[1:] == 0x0A) & _INK[data[:-1]]
+            begins[1:-1] |= (data[:-1] == 0x0A) & after
+            begins[1:-1] |= _LETTER[data[:-1]] & _STOP[data[1:]]
+            begins[1:-2] |= (data[1:-1] == 0x20) & after[1:]
+        begins[offsets] = True
+        begins[len(data)] = False
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        row = np.searchsorted(offsets, starts, side="right") - 1
+        values, at, inverse = np.unique(kernels.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, values)
+        new = np.ones(len(values), bool)
+        inside = place < len(self.known)
+        new[inside] = self.known[place[inside]] != values[inside]
+        if new.any():
+            if len(self.known) + new.sum() > KEPT_PIECES:
+                self._forget()
+                new[:] = True
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+            lists = [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+            size = np.array([len(x) for x in lists], np.int64)
+            start = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(lists), self.dtype, int(size.sum()))])
+            known = np.concatenate([self.known, values[new]])
+            order = np.argsort(known, kind="stable")
+            self.known, self.start, self.size = known[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+            place = np.searchsorted(self.known, values)
+        start, size = self.start[place][inverse], self.size[place][inverse]
+        total = np.bincount(row, size, minlength=n_rows).astype(np.int64)
+        out = np.full(int(total.sum()) + n_rows, self.end, self.dtype)
+        target = np.cumsum(size) - size + row  # each row before adds an end id
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(target, size) + inner] = self.ids[np.repeat(start, size) + inner]
+        return out, total + 1
+
+
+_workers: dict[tuple, object] = {}
+
+
+def _encode(encoder, pieces: _Pieces | None, column: pa.Array, end_id: int, dtype: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, number of ids of each row) of runs of rows."""
+    if pieces is not None:
+        for _, data, offsets in kernels.slices(column, BATCH_CHARS):
+            yield pieces.encode(data, offsets)
+        return
+    texts = column.to_pylist()
+    for first, last in _batches(texts):
+        ids = [np.array(e.ids + [end_id], dtype) for e in encoder.encode_batch_fast(texts[first:last], add_special_tokens=False)]
+        yield np.concatenate(ids), np.array([len(x) for x in ids])
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, shards: int | None = None, text: str = "text") -> str:
     """Encode every document and write the files; returns the folder."""
     spark = docs.sparkSession
@@ -76,20 +175,23 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     width = 2 if max(_encoder(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = chosen.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = chosen.withColumn("spread", F.xxhash64("text")).repartitionByRange(n, "doc_id", "spread").sortWithinPartitions("doc_id", "spread", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = None
+        encoder = pieces = None
         files, filesystem, names = {}, None, {}
         n_docs = n_tokens = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = _encoder(tokenizer)
+                if (tokenizer, end_id, width) not in _workers:  # a worker process serves many tasks
+                    new = _encoder(tokenizer)
+                    _workers[tokenizer, end_id, width] = new, _Pieces(new, end_id, f"<u{width}") if _cuts_hold(new) else None
+                encoder, pieces = _workers[tokenizer, end_id, width]
                 filesystem, root = _filesystem(folder)
                 filesystem.create_dir(root, recursive=True)
                 attempt = uuid.uuid4().hex
@@ -101,14 +203,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
             missing = np.asarray(column.is_null().to_numpy(zero_copy_only=False), np.uint8)
             files["ids"].write(column.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             files["nulls"].write(missing.tobytes())
-            texts = batch.column("text").to_pylist()
-            for first, last in _batches(texts):
-                ids = [np.array(e.ids + [end_id], f"<u{width}") for e in encoder.encode_batch_fast(texts[first:last], add_special_tokens=False)]
-                ends = n_tokens + np.cumsum([len(x) for x in ids])
-                files["tokens"].write(np.concatenate(ids).tobytes())
+            for ids, size in _encode(encoder, pieces, batch.column("text"), end_id, f"<u{width}"):
+                ends = n_tokens + np.cumsum(size)
+                files["tokens"].write(ids.tobytes())
                 files["offsets"].write(ends.astype("<u8").tobytes())
                 n_tokens = int(ends[-1])
-                n_docs += last - first
+                n_docs += len(size)
         for kind, f in files.items():
             f.close()
             filesystem.move(*names[kind])
