@@ -43,7 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.col("epochs"))
     # Rows that repeat a doc_id draw alike; the larger count stands for all of them.
     plan = shared.materialise(mix.groupBy("doc_id").agg(F.max(times).cast("int").alias("mix_times")).filter("mix_times > 0"), "mix")
-    both = docs.join(shared.small(plan).withColumnRenamed("doc_id", "mix_id"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    both = docs.join(plan.withColumnRenamed("doc_id", "mix_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
     return both.withColumn("mix_copy", F.explode(F.expr("array_repeat(1, mix_times)"))).select(*docs.columns)
 
 
