@@ -49,7 +49,7 @@ def line_dedup(docs: DataFrame, text: str = "text", site: str = "source", min_si
     common = materialise(boilerplate(lines, min_sites), "boilerplate")
     found = lines.join(small(common.select("h1", "h2")), ["h1", "h2"])
     places = found.groupBy(F.col("doc_id").alias("l_id"), F.col("version").alias("l_version")).agg(F.sort_array(F.collect_set("place")).alias("l_places"))
-    places = small(materialise(places, "places"))
+    places = materialise(places, "places").hint("merge")  # one way at every size
     version = F.xxhash64(text)
     marked = docs.withColumn("l_own", version).join(places, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("l_own") == F.col("l_version")), "left")
     marked = marked.withColumn("l_lines", F.split(text, "\n"))
