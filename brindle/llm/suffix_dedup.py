@@ -39,12 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .shared import materialise, small
+from .shared import materialise
 
 ANCHOR = 64
 HOT = 64
 #: Bytes that one index holds.
 INDEX_BYTES = 400_000
+#: Size of the bitmap of texts that take part in a join.
+BITS = 1 << 25
 
 
 def _text_key(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -97,8 +99,9 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(h, f, key, a, p, times, hot, bytes) of the wanted chunks, each once."""
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "f", "a", "b", "p", "times", "hot")).alias("cuts"))
     lists = materialise(lists, "cuts")
-    keyed = _keyed(docs)
-    joined = keyed.join(small(lists, 20_000).withColumnRenamed("key", "c_key"), F.col("key") == F.col("c_key")).select("key", "text", "cuts")
+    bits = docs.sparkSession.sparkContext.broadcast(_key_bits(lists))
+    keyed = _keyed(docs, (), bits)
+    joined = keyed.join(lists.withColumnRenamed("key", "c_key").hint("merge"), F.col("key") == F.col("c_key")).select("key", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,14 +118,26 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "h long, f long, key long, a long, p long, times long, hot boolean, bytes binary").dropDuplicates(["h", "f"])
 
 
-def _keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Carried columns, text and the text's key."""
+def _key_bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (4 MB) in which the places of all keys are set; others rarely are."""
+    place = F.pmod(F.col("key"), F.lit(BITS))
+    words = keys.select(F.floor(place / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {BITS}) % 64 AS int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    out = np.zeros(BITS // 64, np.int64)
+    for batch in words.toArrow().to_batches():  # at most BITS / 64 rows
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def _keyed(docs: DataFrame, carry: tuple[str, ...], bits, inside: bool = True) -> DataFrame:
+    """Carried columns, text and the text's key, of documents whose key is marked in the bitmap (or isn't)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             keys = [_text_key(data, offsets) for _, data, offsets in kernels.slices(column)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], names=[*batch.schema.names, "key"])
+            keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            marked = pa.array(bits.value[keys % BITS] == inside)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*batch.schema.names, "key"]).filter(marked)
 
     chosen = docs.select(*carry, F.col("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
@@ -240,7 +255,7 @@ def _halved(cut: DataFrame, length: int) -> DataFrame:
     lo to hi share the bytes from the anchor's place - lo on to its place - hi + length.
     """
     size, most = 128, length - ANCHOR
-    todo = cut.select("h", "f", F.explode(F.expr(f"sequence(0, {most}, {size})")).cast("long").alias("lo"))
+    todo = cut.select("h", "f", F.explode(F.expr(f"sequence(0L, {most}L, {size}L)")).alias("lo"))
     while True:
         hi = F.least(F.col("lo") + size - 1, F.lit(most))
         cores = todo.join(cut.select("h", "f", "p", "bytes"), ["h", "f"]).filter((F.col("lo") <= F.col("p")) & (hi >= F.col("p") - (F.length("bytes") - length)))
@@ -281,7 +296,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     """The carried columns, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (removed runs) and kept_sha256."""
     ranges = repeated_ranges(docs, length, hot)
     lists = ranges.groupBy("key", "a").agg(F.max("e").alias("e")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "e"))).alias("ranges"))
-    joined = _keyed(docs, carry).join(lists.withColumnRenamed("key", "r_key"), F.col("key") == F.col("r_key"), "left").drop("key", "r_key")
+    bits = docs.sparkSession.sparkContext.broadcast(_key_bits(ranges))
+    # Only texts that may have ranges are shuffled to them.
+    joined = _keyed(docs, carry, bits).join(lists.withColumnRenamed("key", "r_key").hint("merge"), F.col("key") == F.col("r_key"), "left").drop("key", "r_key")
+    clean = _keyed(docs, carry, bits, False).withColumn("ranges", F.lit(None).cast("array<struct<a:long,e:long>>")).drop("key")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,4 +326,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
             arrays = [pa.array(v, types.get(k, pa.int64())) for k, v in out.items()]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in carry), *arrays], names=[*carry, *out])
 
-    return joined.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<a:long,e:long>>, kept_sha256 string")
+    schema = f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<a:long,e:long>>, kept_sha256 string"
+    return joined.mapInArrow(run, schema).unionByName(clean.mapInArrow(run, schema))
