@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, line_dedup, mixing, pii, quality_rules, suffix_dedup, token_files
+from . import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, mixing, pii, quality_rules, suffix_dedup, token_files
 
 
 def tokenizer_path() -> str:
@@ -36,6 +36,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return seen.select("doc_id", F.size("found").cast("long").alias("n_found"), F.array_join("families", ",").alias("families"), F.array_max(F.transform("found", lambda x: x["probability"])).alias("best_probability"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(_table(spark, sf_dir, "documents"))
 
