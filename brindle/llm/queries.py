@@ -87,5 +87,77 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_QUALITY_SQL = r"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+tri AS (SELECT doc_id, i, ws[i:i+2] AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)),
+dup AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  [1000 * n_symbols // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), least(2000, 20 * word_chars // greatest(n_words, 1))] AS bins FROM m),
+u AS (SELECT lang, source, k, bins[k] AS v FROM b, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE NOT base_failed),
+q0 AS (SELECT lang, source, k, count(*) AS n, quantile_disc(v, 0.1) AS low, quantile_disc(v, 0.5) AS mid FROM u GROUP BY ALL),
+q1 AS (SELECT lang, k, count(*) AS n, quantile_disc(v, 0.1) AS low, quantile_disc(v, 0.5) AS mid FROM u GROUP BY ALL),
+q2 AS (SELECT k, count(*) AS n, quantile_disc(v, 0.1) AS low, quantile_disc(v, 0.5) AS mid FROM u GROUP BY ALL),
+f AS (SELECT q0.lang, q0.source, q0.k, CASE WHEN q0.n >= 100 THEN q0.low WHEN q1.n >= 100 THEN q1.low ELSE q2.low END AS low, CASE WHEN q0.n >= 100 THEN q0.mid WHEN q1.n >= 100 THEN q1.mid ELSE q2.mid END AS mid
+  FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.k = q1.k JOIN q2 ON q0.k = q2.k),
+x AS (SELECT doc_id, bool_and(bins[f.k] <= mid + 4 * greatest(mid - low, [10, 150, 100, 15][f.k]) AND (f.k < 4 OR bins[4] >= mid - 4 * greatest(mid - low, 15))) AS inside
+  FROM b JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source GROUP BY doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, true) AS kept FROM b LEFT JOIN x USING (doc_id)
+"""
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+r AS (SELECT doc_id AS x, doc_id AS c FROM w UNION SELECT links.y, r.c FROM r JOIN links ON links.x = r.x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.x = w.doc_id GROUP BY ALL
+"""
+
+_CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+m AS (SELECT *, CASE role WHEN 'system' THEN '[SYS]' WHEN 'user' THEN '[INST]' WHEN 'assistant' THEN '<s>' ELSE '[TURN ' || role || ']' END AS opening,
+  CASE role WHEN 'system' THEN '[/SYS]' WHEN 'user' THEN '[/INST]' WHEN 'assistant' THEN '</s>' ELSE '[/TURN]' END AS closing FROM t),
+e AS (SELECT *, contains(text, closing) OR regexp_matches(text, '\\[\\blr]') AS conflict,
+  length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + len(regexp_extract_all(text, '</?s>|\[/?SYS\]|\[/?INST\]|\[TURN |\[/TURN\]')) AS escaped FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(opening) + length(closing) + CASE WHEN hard THEN escaped ELSE length(text) END)::BIGINT AS formatted_chars, true AS round_trip
+FROM (SELECT *, bool_or(conflict) OVER (PARTITION BY conv_id) AS hard FROM e) GROUP BY conv_id
+"""
+
+_LINES_SQL = r"""
+WITH l AS (SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, source, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
+k AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS core FROM l),
+c AS (SELECT core FROM k WHERE len(regexp_extract_all(core, '[^\x20\x09-\x0D]+')) >= 3 GROUP BY core HAVING count(DISTINCT coalesce('s' || source, '')) >= 6)
+SELECT doc_id, count(*) AS n_lines, count(c.core) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.core IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN c ON k.core = c.core GROUP BY doc_id
+"""
+
+_LEAKS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, ws[i:i+least(10, len(ws))-1] AS g FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - least(10, len(ws)) + 1)) AS i FROM b WHERE len(ws) > 0)),
+d AS (SELECT doc_id, i, n, ws[i:i+n-1] AS g FROM (SELECT doc_id, ws, s.n, unnest(generate_series(1, len(ws) - s.n + 1)) AS i FROM w, (SELECT DISTINCT n FROM i) s)),
+h AS (SELECT doc_id, d.i, d.n, item_id FROM d JOIN i ON d.n = i.n AND d.g = i.g),
+x AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(h.i, h.i + h.n - 1)) AS p FROM h) GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS v FROM h) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_quality_rules": _QUALITY_SQL,
+        "op5_jaccard_join": _JACCARD_SQL,
+        "op6_chat_format": _CHAT_SQL,
+        "op8_line_dedup": _LINES_SQL,
+        "op10_decontaminate": _LEAKS_SQL,
+    }
