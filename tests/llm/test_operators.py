@@ -1,0 +1,282 @@
+"""Corpus operators against brute force: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from brindle.llm import chat_format, decontaminate, jaccard_join, license_scan, line_dedup, mixing, pii, quality_rules, suffix_dedup, token_files
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string"
+
+
+def corpus(n=60, seed=1):
+    draw = random.Random(seed)
+    vocabulary = [f"w{k}é" if k % 7 == 0 else f"W{k}" for k in range(400)]
+    passage = " ".join(draw.choice(vocabulary) for _ in range(130))
+    texts = [None, "", " \n\t ", "one", "a b c", "<|endoftext|> x  y　z  \n\n q's", "long " * 3000]
+    base = None
+    while len(texts) < n:
+        kind = draw.randrange(5)
+        words = [draw.choice(vocabulary) for _ in range(draw.randrange(60, 260))]
+        if kind == 0 and base:
+            words = list(base)
+            for _ in range(draw.randrange(0, 5)):
+                words[draw.randrange(len(words))] = draw.choice(vocabulary)
+        elif kind == 1:
+            words.insert(draw.randrange(len(words)), passage)
+        base = words if kind == 2 or base is None else base
+        texts.append("".join(w + draw.choice([" ", " ", " ", "  ", "\n", ". "]) for w in words))
+    rows = [(k, t, draw.choice(["en", "de", None]), draw.choice(["a", "a", "b", None]), None, "x", "y") for k, t in enumerate(texts)]
+    rows.append((len(rows), texts[-1], "en", "a", 1, "x", "y"))  # the same text under another id
+    rows.append(rows[-1])  # and a repeated row
+    rows.append((None, "text without an id " * 10, None, None, None, None, None))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_quality_rules(docs, rows, empty):
+    got = quality_rules.quality_rules(docs, min_support=5).collect()
+    want = collections.Counter()
+    for d, t, *_ in rows:
+        w = WORD.findall(t or "")
+        times = collections.Counter(zip(w, w[1:], w[2:]))
+        twice = {i + k for i in range(len(w) - 2) for k in range(3) if times[tuple(w[i : i + 3])] > 1}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        want[d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(twice), len(w) < 50 or 100 * len(twice) > 50 * len(w)] += 1
+    assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
+    assert not any(r.kept and r.base_failed for r in got)
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_token_files(spark, docs, rows, empty):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public.path(name)
+        encoder = Tokenizer.from_file(path)
+        got = token_files.read_tokens(spark, token_files.write_tokens(docs, path), tokens=True).orderBy("start").collect()
+        assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: -1 if d is None else d)
+        want = collections.Counter((d, tuple(encoder.encode(t or "", add_special_tokens=False).ids + [0])) for d, t, *_ in rows)
+        assert collections.Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+        start = 0
+        for r in got:
+            assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
+            start += r.n_tokens
+    assert token_files.read_tokens(spark, token_files.write_tokens(empty, path)).count() == 0
+
+
+def groups(rows, k=5, percent=80):
+    sets, up = {}, {}
+    for x, (d, t, *_) in enumerate(rows):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets[x] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
+        up[x] = x
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    named = [x for x in sets if rows[x][0] is not None]
+    for a in named:
+        for b in named:
+            o = len(sets[a] & sets[b])
+            if a < b and (o and 100 * o >= percent * (len(sets[a]) + len(sets[b]) - o) or rows[a][0] == rows[b][0]):
+                up[top(b)] = top(a)
+    least = {}
+    for x in named:
+        least[top(x)] = min(least.get(top(x), rows[x][0]), rows[x][0])
+    return collections.Counter((rows[x][0], len(sets[x]), least[top(x)] if x in named else None) for x in sets)
+
+
+@pytest.mark.parametrize("tile", [3, 64])
+def test_jaccard_join(spark, empty, tile):
+    rows = corpus(120, seed=tile)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = jaccard_join.jaccard_groups(docs, tile=tile).collect()
+    assert collections.Counter(tuple(r) for r in got) == groups(rows)
+    assert jaccard_join.jaccard_groups(empty).count() == 0
+
+
+def test_chat_format(spark):
+    hard = ["[INST] a [/INST]", "</s>", "\\", "\\\\b[", "x\\l", "<s></s>[SYS]", "[TURN x] [/TURN]", "[/INST", "", None, "]", "é\n\n"]
+    draw = random.Random(3)
+    rows = [(c, draw.choice([None, 1, 2, 3]), draw.choice(["user", "assistant", "system", "to]ol\\", None]), draw.choice(hard) or draw.choice(hard)) for c in list(range(40)) * 4]
+    rows += [(None, 1, "user", "no id"), (99, 1, "assistant", "long " * 20000)] + [(98, k, "assistant", f"t{k}") for k in range(600)]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chats.select("conv_id", "round_trip", chat_format.parse(chats["formatted"]).alias("turns"), chat_format.masked_text().alias("masked")).collect()
+    source = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        source[c].append((-1 if turn is None else turn, role or "", text or ""))
+    assert {r.conv_id for r in got} == set(source)
+    for r in got:
+        want = sorted(source[r.conv_id], key=lambda x: (x[0], x[1].encode(), x[2].encode()))
+        assert r.round_trip and [tuple(x) for x in r.turns] == [x[1:] for x in want]
+        assert r.masked == "".join(t for _, role, t in want if role == "assistant")
+
+
+def kept_bytes(rows, n):
+    raw = [(d, (t or "").encode()) for d, t, *_ in rows]
+    times = collections.Counter(b[i : i + n] for _, b in raw for i in range(len(b) - n + 1))
+    out = collections.Counter()
+    for d, b in raw:
+        gone = np.zeros(len(b) + 1, int)
+        for i in range(len(b) - n + 1):
+            if times[b[i : i + n]] > 1:
+                gone[i] += 1
+                gone[i + n] -= 1
+        mask = np.cumsum(gone)[:-1] > 0
+        kept = bytes(np.frombuffer(b, np.uint8)[~mask])
+        out[d, len(b), int(mask.sum()), int((np.diff(np.append(0, mask.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 64])
+def test_suffix_dedup(docs, rows, empty, hot):
+    got = suffix_dedup.remove_repeats(docs, 400, hot=hot).drop("kept", "spans").collect()
+    assert collections.Counter(tuple(r) for r in got) == kept_bytes(rows, 400)
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_run_length_index():
+    parts = [b"abracadabra", b"cadabr", b"", b"xbracadx"]
+    index = suffix_dedup.RunLengthIndex(parts)
+    text = [x for k, p in enumerate(parts) for x in [*p, ("end", k)]]
+    n = len(text)
+    want = [max((next((m for m in range(n - max(i, j)) if text[i + m] != text[j + m]), n - max(i, j)) for j in range(n) if j != i), default=0) for i in range(n)]
+    assert index.statistics().tolist() == want and index.run_lengths.sum() == n
+
+
+def test_line_dedup(spark, empty):
+    lines = ["one two three", " one two three\r", "a b", "x y z w", "unlike others here"]
+    draw = random.Random(2)
+    rows = [(k, "\n".join(draw.choice(lines) for _ in range(draw.randrange(1, 6))), draw.choice(["s1", "s2", "s3", None])) for k in range(30)]
+    rows += [(30, None, "s1"), (31, "", "s2"), (32, "x y z w\nonly here now", "s1"), (32, "x y z w\nonly here now", "s1")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=3).collect()
+    strip = " \t\n\x0b\x0c\r"
+    sites = collections.defaultdict(set)
+    for _, t, s in rows:
+        for x in (t or "").split("\n"):
+            sites[x.strip(strip)].add(s)
+    want = collections.Counter()
+    for d, t, s in rows:
+        if t is None:
+            want[d, s, None, 0, 0] += 1
+            continue
+        own = t.split("\n")
+        kept = [x for x in own if len(WORD.findall(x)) < 3 or len(sites[x.strip(strip)]) < 3]
+        want[d, s, "\n".join(kept), len(own), len(own) - len(kept)] += 1
+    assert collections.Counter((r.doc_id, r.source, r.text, r.n_lines, r.n_removed) for r in got) == want
+    assert line_dedup.line_dedup(empty).count() == 0
+
+
+def test_mixing(docs, rows, empty):
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    size, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in got:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken % max(r.size, 1) == 0 and r.taken <= 2 * r.size
+    left, free = 1.5 * sum(size.values()), {"a": 5, "b": 2, None: 1}
+    want = {}
+    while True:
+        over = [s for s in free if left * free[s] / sum(free.values()) > 2 * size[s]]
+        if not over:
+            break
+        for s in over:
+            want[s] = 2.0 * size[s]
+        left -= sum(want[s] for s in over)
+        free = {s: w for s, w in free.items() if s not in over}
+    want |= {s: left * w / sum(free.values()) for s, w in free.items()}
+    largest = max(r.size for r in got)
+    for s in size:
+        assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - target[s]) <= largest / 2 + 1
+    assert sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect())) == sorted(map(str, got))
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_decontaminate(spark, docs, rows, empty, monkeypatch):
+    words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    read = lambda t: words.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    items = [(1, " ".join(read(rows[20][1])[5:40])), (2, " ".join(read(rows[30][1])[:12])), (11, "w1 w2"), (3, None), (4, ""), (5, "W3"), (6, " ".join(read(rows[20][1])[5:40])), (None, "w5")]
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)  # several blocks
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontaminate(docs, benchmark, matches=True).collect()
+    want = collections.Counter()
+    for d, t, *_ in rows:
+        w, hit, own = read(t), set(), set()
+        for i, it in items:
+            v = read(it)
+            n = min(10, len(v))
+            for k in range(len(v) - n + 1) if n else ():
+                for x in range(len(w) - n + 1):
+                    if w[x : x + n] == v[k : k + n]:
+                        hit |= set(range(x, x + n))
+                        own |= {str(i)} if i is not None else set()
+        want[d, len(w), len(hit), tuple(sorted(own)), bool(hit)] += 1
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got) == want
+    longest = max((m for r in got for m in r.matches if r.doc_id == 20), key=lambda m: m.n_words)
+    assert (longest.item_start, longest.doc_start, longest.n_words) == (0, 5, 35)
+    assert decontaminate.decontaminate(empty, benchmark).count() == 0
+    assert decontaminate.decontaminate(docs, benchmark.limit(0)).filter("contaminated").count() == 0
+
+
+def test_pii(spark, empty):
+    luhn = lambda x: sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 * (c > "4")) for k, c in enumerate(x[::-1])) % 10 == 0
+    texts = [
+        "card 4111 1111 1111 1111 and 4111111111111111.",
+        "not a card 4111111111111112, version 1.2.3, 12345",
+        "born 2001-02-28 or 28.02.2001, not 2001-02-30",
+        "call +1 (017) 555-7713 or a.b9@mail.example.com from 10.0.0.255, not 10.0.0.256",
+        'token = "0123456789abcdef0123" ssn 123-45-6789 not 000-12-3456',
+        None,
+        "",
+        "plain text",
+    ]
+    frame = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, kinds string")
+    got = {r.doc_id: r for r in pii.pseudonymise(frame).collect()}
+    new = got[0].text
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", new)
+    assert len(cards) == 2 and cards[0].replace(" ", "") == cards[1] != "4111111111111111" and luhn(cards[1])
+    assert got[1].text == texts[1] and got[7].text == texts[7] and got[5].text is None and got[6].text == ""
+    a, b = re.match(r"born (\d{4}-\d\d-\d\d) or (\d\d\.\d\d\.\d{4}), not 2001-02-30$", got[2].text).groups()
+    assert a == "-".join(b.split(".")[::-1]) != "2001-02-28"
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} or [a-z]\.[a-z]\d@mail\.example\.com from \d+\.\d+\.\d+\.\d+, not 10\.0\.0\.256", got[3].text)
+    assert list(got[3].kinds) == ["email", "ip", "phone"] and got[3].n_found == 3
+    assert re.fullmatch(r'token = "[0-9a-f]{20}" ssn \d{3}-\d{2}-\d{4} not 000-12-3456', got[4].text) and got[4].text != texts[4]
+    small = spark.range(189 * 11).select(pii.permute_number(pii.F.col("id"), 189, 11, "k", "t").alias("x"))
+    assert sorted(r.x for r in small.collect()) == list(range(189 * 11))
+    pairs = spark.range(1000).select(pii.permute_text(pii.F.lpad(pii.F.col("id").cast("string"), 3, "0"), "k", "t").alias("x"))
+    assert len({r.x for r in pairs.collect()}) == 1000
+    assert pii.pseudonymise(empty).count() == 0
+
+
+def test_license_scan(spark, empty):
+    texts = ["Some text.\nReleased under the MIT License.\nMore.", "The driver must hold a license.", None, "", "This work is licensed under the GNU General Public License, version 3.", "word " * 300 + ". Licensed under CC BY-NC 4.0."]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.families for r in got] == [["MIT"], [], [], [], ["GPL"], ["CC-BY-NC"]]
+    assert got[0].found[0].line == 1 and license_scan.model().held_out_accuracy > 0.9
+    assert license_scan.scan_licenses(empty).count() == 0
