@@ -44,7 +44,7 @@ from .shared import materialise
 ANCHOR = 64
 HOT = 64
 #: Bytes that one index holds.
-INDEX_BYTES = 400_000
+INDEX_BYTES = 250_000
 #: Size of the bitmap of texts that take part in a join.
 BITS = 1 << 25
 
@@ -104,8 +104,13 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     joined = keyed.join(lists.withColumnRenamed("key", "c_key").hint("merge"), F.col("key") == F.col("c_key")).select("key", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("h", "f", "key", "a", "p", "times", "hot", "bytes")
+
+        def table(out: dict[str, list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "bytes" else pa.bool_() if k == "hot" else pa.int64()) for k, v in out.items()})
+
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("h", "f", "key", "a", "p", "times", "hot", "bytes")}
+            out: dict[str, list] = {c: [] for c in names}
             for key, text, cuts in zip(*(batch.column(c) for c in range(3)), strict=True):
                 raw = (text.as_py() or "").encode()
                 for c in cuts.as_py():
@@ -113,7 +118,10 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         out[name].append(c[name])
                     out["key"].append(key.as_py())
                     out["bytes"].append(raw[c["a"] : c["b"] + length])
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "bytes" else pa.bool_() if k == "hot" else pa.int64()) for k, v in out.items()})
+                if len(out["h"]) >= 5000:
+                    yield table(out)
+                    out = {c: [] for c in names}
+            yield table(out)
 
     return joined.mapInArrow(run, "h long, f long, key long, a long, p long, times long, hot boolean, bytes binary").dropDuplicates(["h", "f"])
 
@@ -125,7 +133,7 @@ def _key_bits(keys: DataFrame) -> np.ndarray:
     out = np.zeros(BITS // 64, np.int64)
     for batch in words.toArrow().to_batches():  # at most BITS / 64 rows
         out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out.view(np.uint64)
 
 
 def _keyed(docs: DataFrame, carry: tuple[str, ...], bits, inside: bool = True) -> DataFrame:
@@ -136,7 +144,8 @@ def _keyed(docs: DataFrame, carry: tuple[str, ...], bits, inside: bool = True) -
             column = batch.column(batch.num_columns - 1)
             keys = [_text_key(data, offsets) for _, data, offsets in kernels.slices(column)]
             keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            marked = pa.array(bits.value[keys % BITS] == inside)
+            place = keys % BITS
+            marked = pa.array(((bits.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool) == inside)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*batch.schema.names, "key"]).filter(marked)
 
     chosen = docs.select(*carry, F.col("text"))
@@ -157,15 +166,15 @@ class RunLengthIndex:
         symbols[self.ends] = np.arange(n_parts)
         symbols[inside] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + n_parts
         n = len(symbols)
-        levels = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
+        levels = [np.unique(symbols, return_inverse=True)[1].astype(np.int32)]
         step = 1
         while True:  # prefix doubling; all ranks become distinct, as separators are
-            rank = levels[-1]
+            rank = levels[-1].astype(np.int64)
             key = rank * (n + 1)
             key[: n - step] += rank[step:] + 1
             order = np.argsort(key, kind="stable")
             value = key[order]
-            new = np.zeros(n, np.int64)
+            new = np.zeros(n, np.int32)
             new[order] = np.append(0, np.cumsum(value[1:] != value[:-1]))
             levels.append(new)
             step *= 2
@@ -255,20 +264,21 @@ def _halved(cut: DataFrame, length: int) -> DataFrame:
     lo to hi share the bytes from the anchor's place - lo on to its place - hi + length.
     """
     size, most = 128, length - ANCHOR
-    todo = cut.select("h", "f", F.explode(F.expr(f"sequence(0L, {most}L, {size}L)")).alias("lo"))
+    carried = ["h", "key", "a", "p", "bytes"]  # a chunk's bytes go along, so that no round looks them up again
+    todo = cut.select(*carried, F.explode(F.expr(f"sequence(0L, {most}L, {size}L)")).alias("lo"))
     while True:
         hi = F.least(F.col("lo") + size - 1, F.lit(most))
-        cores = todo.join(cut.select("h", "f", "p", "bytes"), ["h", "f"]).filter((F.col("lo") <= F.col("p")) & (hi >= F.col("p") - (F.length("bytes") - length)))
+        todo = todo.filter((F.col("lo") <= F.col("p")) & (hi >= F.col("p") - (F.length("bytes") - length)))
         core = F.substring("bytes", (F.col("p") - F.col("lo") + 1).cast("int"), (F.col("lo") - hi + length).cast("int"))
-        cores = materialise(cores.select("h", "f", "lo", F.xxhash64(core).alias("c1"), F.xxhash64(F.lit(1), core).alias("c2")), "cores")
+        cores = materialise(todo.withColumn("c1", F.xxhash64(core)).withColumn("c2", F.xxhash64(F.lit(1), core)), "cores")
         twice = cores.groupBy("h", "lo", "c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-        todo = materialise(cores.join(twice, ["h", "lo", "c1", "c2"]).select("h", "f", "lo"), "intervals")
+        todo = cores.join(twice, ["h", "lo", "c1", "c2"]).select(*carried, "lo")
         if size == 1:
             break
         size //= 2
         todo = todo.withColumn("lo", F.explode(F.array(F.col("lo"), F.col("lo") + size))).filter(F.col("lo") <= most)
     start = F.col("a") + F.col("p") - F.col("lo")
-    return todo.join(cut.select("h", "f", "key", "a", "p"), ["h", "f"]).select("key", start.alias("a"), (start + length).alias("e"))
+    return todo.select("key", start.alias("a"), (start + length).alias("e"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
