@@ -159,6 +159,21 @@ def test_suffix_dedup(docs, rows, empty, hot):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_witnesses(spark):
+    """Copies with edits, cut to several lengths: chunks of one anchor share some windows with some others."""
+    draw = random.Random(5)
+    base = "".join(draw.choice("abcd ") for _ in range(1500))
+    rows = []
+    for d in range(160):
+        text = list(base[draw.randrange(0, 300) : 1500 - draw.randrange(0, 300)])
+        for _ in range(draw.choice([0, 1, 1, 2])):
+            text[draw.choice([350, 500, 501, draw.randrange(len(text))])] = draw.choice("XYZé")
+        rows.append((d, "".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(docs, 400, hot=1).drop("kept", "spans").collect()
+    assert collections.Counter(tuple(r) for r in got) == kept_bytes(rows, 400)
+
+
 def test_run_length_index():
     parts = [b"abracadabra", b"cadabr", b"", b"xbracadx"]
     index = suffix_dedup.RunLengthIndex(parts)
