@@ -260,25 +260,42 @@ def _indexed(cut: DataFrame, length: int) -> DataFrame:
 def _halved(cut: DataFrame, length: int) -> DataFrame:
     """(key, a, e): byte ranges that repeat in chunks of hot anchors, by halving intervals of windows.
 
-    A window is known by its reach x before the anchor.  All windows with x from
-    lo to hi share the bytes from the anchor's place - lo on to its place - hi + length.
+    A window is known by its reach x before the anchor.  All windows with x from lo
+    to hi share the bytes from the anchor's place - lo on to its place - hi + length,
+    their core; those from its place - hi on to its place - lo + length are their
+    hull.  Chunks with equal hulls repeat in all these windows: their range is told
+    at once, and one of them goes on as a witness for others.  Chunks with equal
+    cores go on by halves while there are two and one of them is untold.
     """
     size, most = 128, length - ANCHOR
-    carried = ["h", "key", "a", "p", "bytes"]  # a chunk's bytes go along, so that no round looks them up again
-    todo = cut.select(*carried, F.explode(F.expr(f"sequence(0L, {most}L, {size}L)")).alias("lo"))
+    carried = ["h", "key", "a", "p", "bytes", "told"]  # a chunk's bytes go along, so that no round looks them up again
+    todo = cut.select(*carried[:-1], F.lit(False).alias("told"), F.explode(F.expr(f"sequence(0L, {most}L, {size}L)")).alias("lo"))
+    found = None
     while True:
         hi = F.least(F.col("lo") + size - 1, F.lit(most))
-        todo = todo.filter((F.col("lo") <= F.col("p")) & (hi >= F.col("p") - (F.length("bytes") - length)))
+        first = F.greatest(F.col("lo"), F.col("p") - (F.length("bytes") - length))  # the windows that the chunk has
+        last = F.least(hi, F.col("p"))
         core = F.substring("bytes", (F.col("p") - F.col("lo") + 1).cast("int"), (F.col("lo") - hi + length).cast("int"))
-        cores = materialise(todo.withColumn("c1", F.xxhash64(core)).withColumn("c2", F.xxhash64(F.lit(1), core)), "cores")
-        twice = cores.groupBy("h", "lo", "c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-        todo = cores.join(twice, ["h", "lo", "c1", "c2"]).select(*carried, "lo")
+        hull = F.substring("bytes", (F.col("p") - F.col("last") + 1).cast("int"), (F.col("last") - F.col("first") + length).cast("int"))
+        rows = todo.filter((F.col("lo") <= F.col("p")) & (hi >= F.col("p") - (F.length("bytes") - length)))
+        rows = rows.withColumn("first", first).withColumn("last", last)
+        for name, part in (("c", core), ("u", hull)):
+            rows = rows.withColumn(f"{name}1", F.xxhash64(part)).withColumn(f"{name}2", F.xxhash64(F.lit(1), part))
+        rows = materialise(rows, "intervals")
+        same = ["h", "lo", "first", "last", "u1", "u2"]
+        kinds = rows.groupBy(*same).agg(F.count("*").alias("n"), F.max("told").alias("was"), F.min(F.struct("key", "a", "p", "bytes", "c1", "c2")).alias("one"))
+        kinds = materialise(kinds.select(*same, "n", (F.col("was") | (F.col("n") > 1)).alias("told"), "one.*"), "hulls")
+        start = F.col("a") + F.col("p")
+        ranges = rows.filter(~F.col("told")).drop("told").join(kinds.filter("n > 1").select(*same), same)
+        ranges = ranges.select("key", (start - F.col("last")).alias("a"), (start - F.col("first") + length).alias("e"))
+        found = ranges if found is None else found.unionByName(ranges)
         if size == 1:
-            break
+            return found
+        live = kinds.groupBy("h", "lo", "c1", "c2").agg(F.count("*").alias("n"), F.min("told").alias("all_told")).filter("n > 1 AND NOT all_told")
+        live = materialise(live.select("h", "lo", "c1", "c2"), "live")  # written, so that a skewed join can split
         size //= 2
+        todo = kinds.join(live, ["h", "lo", "c1", "c2"]).select(*carried, "lo")
         todo = todo.withColumn("lo", F.explode(F.array(F.col("lo"), F.col("lo") + size))).filter(F.col("lo") <= most)
-    start = F.col("a") + F.col("p") - F.col("lo")
-    return todo.select("key", start.alias("a"), (start + length).alias("e"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
