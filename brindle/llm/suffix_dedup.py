@@ -301,12 +301,13 @@ def _halved(cut: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """(key, a, e): ranges of bytes that repeated strings cover, by digest of the text; ranges may overlap."""
     chunks = materialise(_all_chunks(docs, length), "chunks")
-    often = chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # Sides that are sums are written first: adaptive execution splits a hot key only in a join of plain reads.
+    often = materialise(chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     again = materialise(chunks.join(often, "h"), "again")
     kinds = materialise(again.groupBy("h", "f").agg(F.count("*").alias("times"), F.min(F.struct("key", "a", "b", "p")).alias("one")), "kinds")
     whole = again.join(kinds.filter("times > 1").select("h", "f"), ["h", "f"], "left_semi").groupBy("key", "a").agg((F.max("b") + length).alias("e"))
     groups = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("times").alias("least")).filter("m > 1 AND least = 1")
-    groups = groups.select("h", (F.col("m") > hot).alias("hot"))
+    groups = materialise(groups.select("h", (F.col("m") > hot).alias("hot")), "groups")
     wanted = kinds.join(groups, "h").select("h", "f", "one.key", "one.a", "one.b", "one.p", "times", "hot")
     cut = materialise(_cut(docs, materialise(wanted, "wanted"), length), "cut")
     ranges = [whole, _indexed(cut.filter(~F.col("hot")), length)]
@@ -323,7 +324,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     """The carried columns, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (removed runs) and kept_sha256."""
     ranges = repeated_ranges(docs, length, hot)
     lists = ranges.groupBy("key", "a").agg(F.max("e").alias("e")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "e"))).alias("ranges"))
-    bits = docs.sparkSession.sparkContext.broadcast(_key_bits(ranges))
+    lists = materialise(lists, "lists")  # many equal texts make a hot key, which a join of plain reads can split
+    bits = docs.sparkSession.sparkContext.broadcast(_key_bits(lists))
     # Only texts that may have ranges are shuffled to them.
     joined = _keyed(docs, carry, bits).join(lists.withColumnRenamed("key", "r_key").hint("merge"), F.col("key") == F.col("r_key"), "left").drop("key", "r_key")
     clean = _keyed(docs, carry, bits, False).withColumn("ranges", F.lit(None).cast("array<struct<a:long,e:long>>")).drop("key")
