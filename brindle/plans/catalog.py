@@ -14,12 +14,15 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue by market segment and order year: two joins on keys, filters and columns pushed to the scans."""
-    items = _t(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") != "R").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"))
+    """Revenue by market segment and order year: two joins on keys, filters and columns pushed to the scans.
+
+    Prices are summed as decimals, so the order in which tasks end doesn't matter.
+    """
+    items = _t(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") != "R").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("price"))
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("order_year"))
     people = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(people, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy("c_mktsegment", "order_year").agg(F.round(F.sum("price"), 2).alias("revenue"), F.count("*").alias("n_lines"))
+    return joined.groupBy("c_mktsegment", "order_year").agg(F.sum("price").cast("double").alias("revenue"), F.count("*").alias("n_lines"))
 
 
 def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +49,10 @@ def event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.rollup("event_type", "day").agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"))
 
 
-def unordered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of each brand that no line orders, by an anti join."""
-    parts, items = _t(spark, sf_dir, "part").select("p_partkey", "p_brand"), _t(spark, sf_dir, "lineitem").select("l_partkey")
+def unreturned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each brand that no line with a large return names, by an anti join."""
+    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    items = _t(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 45").select("l_partkey")
     return parts.join(items, F.col("p_partkey") == F.col("l_partkey"), "left_anti").groupBy("p_brand").agg(F.count("*").alias("n_parts"))
 
 
@@ -58,13 +62,13 @@ QUERIES = {
     "top_customers": top_customers,
     "sessions": sessions,
     "event_rollup": event_rollup,
-    "unordered_parts": unordered_parts,
+    "unreturned_parts": unreturned_parts,
 }
 
 SQL = {
     "pricing_summary": pricing.PRICING_SUMMARY_SQL,
     "segment_revenue": """
-SELECT c_mktsegment, year(o_orderdate)::INTEGER AS order_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n_lines
+SELECT c_mktsegment, year(o_orderdate)::INTEGER AS order_year, sum((l_extendedprice * (1 - l_discount))::DECIMAL(18, 4))::DOUBLE AS revenue, count(*) AS n_lines
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag <> 'R' GROUP BY ALL""",
     "top_customers": """
 SELECT n_name, place::INTEGER AS place, c_custkey, n_orders FROM (
@@ -78,6 +82,6 @@ SELECT user_id, session::BIGINT AS session, count(*) AS n_events, min(event_id)
 GROUP BY ALL""",
     "event_rollup": """
 SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY ROLLUP (event_type, strftime(ts, '%Y-%m-%d'))""",
-    "unordered_parts": """
-SELECT p_brand, count(*) AS n_parts FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) GROUP BY p_brand""",
+    "unreturned_parts": """
+SELECT p_brand, count(*) AS n_parts FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 45) GROUP BY p_brand""",
 }
