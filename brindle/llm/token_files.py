@@ -153,7 +153,19 @@ class _Pieces:
         return out, total + 1
 
 
-_workers: dict[tuple, object] = {}
+_workers: dict[tuple, tuple] = {}
+
+
+def _worker(tokenizer: str, end_id: int, width: int) -> tuple:
+    """(encoder, pieces) of this process, which serves many tasks.
+
+    A task's own function is sent by value, with copies of the names it uses; only
+    a function of the module, sent by reference, sees the same table in each task.
+    """
+    if (tokenizer, end_id, width) not in _workers:
+        new = _encoder(tokenizer)
+        _workers[tokenizer, end_id, width] = new, _Pieces(new, end_id, f"<u{width}") if _cuts_hold(new) else None
+    return _workers[tokenizer, end_id, width]
 
 
 def _encode(encoder, pieces: _Pieces | None, column: pa.Array, end_id: int, dtype: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -188,10 +200,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
             if not batch.num_rows:
                 continue
             if encoder is None:
-                if (tokenizer, end_id, width) not in _workers:  # a worker process serves many tasks
-                    new = _encoder(tokenizer)
-                    _workers[tokenizer, end_id, width] = new, _Pieces(new, end_id, f"<u{width}") if _cuts_hold(new) else None
-                encoder, pieces = _workers[tokenizer, end_id, width]
+                encoder, pieces = _worker(tokenizer, end_id, width)
                 filesystem, root = _filesystem(folder)
                 filesystem.create_dir(root, recursive=True)
                 attempt = uuid.uuid4().hex
