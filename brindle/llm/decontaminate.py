@@ -14,7 +14,9 @@ is lost.  Training texts are read once and never shuffled.
 
 The benchmark travels to the tasks in blocks of bounded size
 (``BLOCK_CHARS``); a larger benchmark just means more blocks, each searched in
-turn in the same pass, so memory holds one block at a time.
+turn in the same pass.  The driver and each Python worker hold one block at a
+time; the others wait on the executor's disk.  A block is made ready once for all
+texts of an Arrow batch.
 
 Cases: null and empty texts have no words and match nothing.  Repeated items
 all count, each under its id; a null item_id is left out of the list of ids but
@@ -97,17 +99,26 @@ def _search(block: _Block, hashes: np.ndarray, row: np.ndarray) -> Iterator[tupl
             yield n, starts[array[np.repeat(low[found], times) + inner]], np.repeat(item[found], times), np.repeat(place[found], times)
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int | None, str]]]:
-    """The benchmark in blocks of at most BLOCK_CHARS (a longer item is a block of its own)."""
-    out, size = [[]], 0
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark in blocks of at most BLOCK_CHARS (a longer item is a block of its own), one after another."""
+    block, size = [], 0
     rows = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).orderBy("item_id", "text")
     for item, text in rows.toLocalIterator():
-        if out[-1] and size + len(text) > BLOCK_CHARS:
-            out.append([])
-            size = 0
-        out[-1].append((item, text))
+        if block and size + len(text) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append((item, text))
         size += len(text)
-    return [b for b in out if b]
+    if block:
+        yield block
+
+
+def _received(sent) -> list[tuple[int | None, str]]:
+    """The items of a broadcast block, which this process does not keep; its file on the executor is read again when needed."""
+    items = sent.value
+    if getattr(sent, "_path", None):
+        del sent._value
+    return items
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", carry: tuple[str, ...] = ("doc_id",), matches: bool = False) -> DataFrame:
@@ -128,20 +139,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("d_text"))
             n_words, n_hit, items, places = [], [], [], []
+            shards = []
             for _, data, offsets in kernels.slices(column):
                 data = kernels.lower(data)
                 s, e, row = kernels.words(data, offsets, kernels.NOT_ALNUM)
-                hashes = kernels.span_hashes(data, s, e)
-                n_rows = len(offsets) - 1
-                count = np.bincount(row, minlength=n_rows)
-                first = np.cumsum(count) - count
-                hit = np.zeros(len(hashes) + 1, np.int64)
-                own: list[set[str]] = [set() for _ in range(n_rows)]
-                spans: list[list[dict]] = [[] for _ in range(n_rows)]
-                for k, sent in enumerate(blocks):
-                    if last is None or last[0] != k:
-                        last = (k, _Block(sent.value, width))
-                    names = last[1].names
+                count = np.bincount(row, minlength=len(offsets) - 1)
+                hit = np.zeros(len(s) + 1, np.int64)
+                shards.append((kernels.span_hashes(data, s, e), row, count, hit, [set() for _ in count], [[] for _ in count]))
+            for k, sent in enumerate(blocks):
+                if last is None or last[0] != k:
+                    last = None  # so that two blocks are never held
+                    last = (k, _Block(_received(sent), width))
+                names = last[1].names
+                for hashes, row, count, hit, own, spans in shards:
+                    first = np.cumsum(count) - count
                     for n, at, item, place in _search(last[1], hashes, row):
                         np.add.at(hit, at, 1)
                         np.add.at(hit, at + n, -1)
@@ -151,9 +162,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
                                 own[r].add(str(names[i]))
                         if matches:
                             _join(n, at, item, place, row, first, names, spans)
+            for _, row, count, hit, own, spans in shards:
                 covered = np.cumsum(hit[:-1]) > 0
                 n_words += count.tolist()
-                n_hit += np.bincount(row[covered], minlength=n_rows).tolist()
+                n_hit += np.bincount(row[covered], minlength=len(count)).tolist()
                 items += [sorted(x) for x in own]
                 places += spans
             columns = [c for k, c in enumerate(batch.columns) if batch.schema.names[k] != "d_text"]
