@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import times
+from ..operators.asof import asof_join
+from ..operators.ranges import range_join
+from ..operators.rollups import coarser, fill_gaps, rollup
+from ..sources.tables import scratch, stored
+from ..sources.tables import table as _t
+from ..streaming import windows
 from . import pricing
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def segment_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by market segment and order year: two joins on keys, filters and columns pushed to the scans.
 
@@ -56,6 +59,49 @@ def unreturned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(items, F.col("p_partkey") == F.col("l_partkey"), "left_anti").groupBy("p_brand").agg(F.count("*").alias("n_parts"))
 
 
+def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with its user's latest view before it, by an as-of join."""
+    events = _t(spark, sf_dir, "events")
+    bought = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    seen = events.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return asof_join(bought, seen, ["user_id"], "ts", "ts", ["view_id", "view_value"]).select("event_id", "user_id", "view_id", "view_value")
+
+
+def near_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each error the events of all users in the half hour from it on, by a range join."""
+    events = _t(spark, sf_dir, "events").select("event_id", "event_type", times.micros("ts").alias("at"))
+    spans = events.filter("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("at").alias("since"), (F.col("at") + 30 * times.MINUTE).alias("until"))
+    return range_join(events.select("at"), spans, "at", "since", "until").groupBy("error_id").agg(F.count("*").alias("n_events"))
+
+
+def daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by event type and day, merged from hourly partial results."""
+    hourly = rollup(_t(spark, sf_dir, "events"), ["event_type"], "ts", "value", times.HOUR)
+    daily = coarser(hourly, ["event_type"], 24)
+    return daily.select("event_type", times.shown(F.col("bucket"), times.DAY, "yyyy-MM-dd").alias("day"), "n", F.col("total").cast("double").alias("total"), "least", "most")
+
+
+def quiet_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours between a type's first and last event in which it has none."""
+    hourly = rollup(_t(spark, sf_dir, "events"), ["event_type"], "ts", "value", times.HOUR)
+    return fill_gaps(hourly, ["event_type"]).filter("n = 0").select("event_type", times.shown(F.col("bucket"), times.HOUR, "yyyy-MM-dd HH").alias("hour"))
+
+
+def streamed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and type from a stream; the windows that the watermark has closed."""
+    events = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    told = windows.drained(windows.window_counts(events, "ts", ["event_type"], "1 hour", "2 hours"), "hours")
+    return told.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+def stored_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by nation, read back from CSV in folders by region."""
+    people = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n_customers"))
+    nations = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    rows = nations.join(people, F.col("n_nationkey") == F.col("c_nationkey")).select("n_name", "n_customers", "n_regionkey")
+    return stored(rows, scratch(spark, "nations"), "csv", ["n_regionkey"]).filter("n_regionkey >= 2").select("n_name", "n_customers", "n_regionkey")
+
+
 QUERIES = {
     "pricing_summary": pricing.pricing_summary,
     "segment_revenue": segment_revenue,
@@ -63,6 +109,12 @@ QUERIES = {
     "sessions": sessions,
     "event_rollup": event_rollup,
     "unreturned_parts": unreturned_parts,
+    "last_view": last_view,
+    "near_errors": near_errors,
+    "daily_values": daily_values,
+    "quiet_hours": quiet_hours,
+    "streamed_hours": streamed_hours,
+    "stored_nations": stored_nations,
 }
 
 SQL = {
@@ -84,4 +136,20 @@ GROUP BY ALL""",
 SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM events GROUP BY ROLLUP (event_type, strftime(ts, '%Y-%m-%d'))""",
     "unreturned_parts": """
 SELECT p_brand, count(*) AS n_parts FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 45) GROUP BY p_brand""",
+    "last_view": """
+SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
+    "near_errors": """
+SELECT x.event_id AS error_id, count(*) AS n_events FROM events x JOIN events e ON e.ts >= x.ts AND e.ts < x.ts + INTERVAL 30 MINUTE WHERE x.event_type = 'error' GROUP BY x.event_id""",
+    "daily_values": """
+SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(value::DECIMAL(18, 2))::DOUBLE AS total, min(value) AS least, max(value) AS most FROM events GROUP BY ALL""",
+    "quiet_hours": """
+WITH h AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS h FROM events),
+a AS (SELECT event_type, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM h GROUP BY event_type)
+SELECT event_type, strftime(h, '%Y-%m-%d %H') AS hour FROM a ANTI JOIN h USING (event_type, h)""",
+    "streamed_hours": """
+SELECT strftime(h, '%Y-%m-%d %H') AS hour, event_type, n FROM (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY ALL)
+WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
+    "stored_nations": """
+SELECT n_name, count(*) AS n_customers, n_regionkey FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE n_regionkey >= 2 GROUP BY n_name, n_regionkey""",
 }
