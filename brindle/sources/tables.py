@@ -27,14 +27,13 @@ def scratch(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, path: str, form: str = "parquet", by: list[str] | None = None) -> DataFrame:
     """Write a table as parquet, orc, json or csv, in a folder per value of ``by``, and read it with its own schema.
 
-    Every text comes back as it was (in ``by`` an empty one as null); for that a
-    csv file is one task's work, as line ends in texts forbid to split it.
+    Texts come back as they were, but for an empty one in ``by`` and ``\\N`` in csv,
+    which come back as null.  A csv file is one task's work, as line ends in texts
+    forbid to split it.
     """
     options = {}
     if form == "csv":
-        if len(df.columns) - len(by or []) < 2:
-            raise ValueError("csv loses the nulls of a single column")
-        options = {"header": "true", "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        options = {"header": "true", "nullValue": "\\N", "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     writer = df.write.format(form).options(**options)
     (writer.partitionBy(*by) if by else writer).save(path)
     return df.sparkSession.read.format(form).options(**options).schema(df.schema).load(path)
