@@ -19,7 +19,7 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end
     """All columns of both sides (``by`` once) where start <= at < end; the three columns are whole numbers."""
     by = by or []
     length = F.col(end) - F.col(start)
-    usable = intervals.filter(length > 0).withColumn("r_grid", F.ceil(F.log2(length.cast("double"))).cast("int"))
+    usable = intervals.filter(length > 0).withColumn("r_grid", F.length(F.bin(length - 1)))  # binary digits: 2 ** r_grid >= length
     cell = lambda c: F.expr(f"shiftright({c}, r_grid)")
     placed = usable.withColumn("r_cell", F.explode(F.array_distinct(F.array(cell(f"cast({start} AS long)"), cell(f"cast({end} - 1 AS long)")))))
     grids = sorted(r[0] for r in usable.select("r_grid").distinct().collect())  # at most 63

@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import bucket, micros
+from ..functions.times import bucket as group
+from ..functions.times import micros
 
 
 def rollup(df: DataFrame, keys: list[str], at: str, value: str, width: int) -> DataFrame:
     """(keys, bucket, n, total, least, most) by buckets of ``width`` microseconds; sums are exact decimals."""
-    rows = df.filter(F.col(at).isNotNull()).select(*keys, bucket(micros(at), width).alias("bucket"), F.col(value).alias("r_value"))
+    rows = df.filter(F.col(at).isNotNull()).select(*keys, group(micros(at), width).alias("bucket"), F.col(value).alias("r_value"))
     return rows.groupBy(*keys, "bucket").agg(
         F.count("*").alias("n"),
         F.sum(F.col("r_value").cast("decimal(18,2)")).alias("total"),
@@ -29,7 +30,7 @@ def rollup(df: DataFrame, keys: list[str], at: str, value: str, width: int) -> D
 
 def coarser(partial: DataFrame, keys: list[str], times: int = 1) -> DataFrame:
     """Merge partial rows; ``times`` fine buckets make a coarse one."""
-    number = F.floor(F.col("bucket") / F.lit(times)).cast("long").alias("bucket")
+    number = group(F.col("bucket"), times).alias("bucket")
     return partial.groupBy(*keys, number).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 

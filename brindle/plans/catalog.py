@@ -78,13 +78,13 @@ def daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values by event type and day, merged from hourly partial results."""
     hourly = rollup(_t(spark, sf_dir, "events"), ["event_type"], "ts", "value", times.HOUR)
     daily = coarser(hourly, ["event_type"], 24)
-    return daily.select("event_type", times.shown(F.col("bucket"), times.DAY, "yyyy-MM-dd").alias("day"), "n", F.col("total").cast("double").alias("total"), "least", "most")
+    return daily.select("event_type", times.shown(F.col("bucket"), times.DAY, 10).alias("day"), "n", F.col("total").cast("double").alias("total"), "least", "most")
 
 
 def quiet_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours between a type's first and last event in which it has none."""
     hourly = rollup(_t(spark, sf_dir, "events"), ["event_type"], "ts", "value", times.HOUR)
-    return fill_gaps(hourly, ["event_type"]).filter("n = 0").select("event_type", times.shown(F.col("bucket"), times.HOUR, "yyyy-MM-dd HH").alias("hour"))
+    return fill_gaps(hourly, ["event_type"]).filter("n = 0").select("event_type", times.shown(F.col("bucket"), times.HOUR, 13).alias("hour"))
 
 
 def streamed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:

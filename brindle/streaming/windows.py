@@ -9,7 +9,7 @@ from ..sources.tables import scratch
 
 
 def window_counts(events: DataFrame, at: str, keys: list[str], width: str, late: str) -> DataFrame:
-    """(window_start, keys, n) of a stream (or a table).
+    """(window_start, keys, n) of a stream (or a table); times are those of the session's zone.
 
     Rows at most ``late`` behind always count.  Spark drops later ones from the
     second batch on after the one that moved the watermark past their window.

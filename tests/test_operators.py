@@ -22,6 +22,21 @@ def _moments(seed, n, hot=0.5):
     return [(("a" if draw.random() < hot else draw.choice(keys)), None if draw.random() < 0.05 else T0 + dt.timedelta(minutes=draw.randrange(600)), draw.randrange(5)) for _ in range(n)]
 
 
+def test_times_in_any_zone(spark):
+    moments = [T0, dt.datetime(2024, 3, 10, 2, 30, 0, 1), dt.datetime(1969, 12, 31, 23, 59, 59, 999999), dt.datetime(1, 1, 1), dt.datetime(9999, 12, 31, 23, 59, 59, 999999), None]
+    zero, day = dt.datetime(1970, 1, 1), dt.timedelta(days=1)
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(moments)], "i int, at timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # 2024-03-10 02:30 is no time there
+    try:
+        at = times.micros("at")
+        got = df.orderBy("i").select(at, times.bucket(at, times.DAY), times.shown(times.bucket(at, times.HOUR), times.HOUR, 13)).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    want = [((m - zero) // dt.timedelta(microseconds=1), (m - zero) // day, m.isoformat(" ")[:13]) if m else (None,) * 3 for m in moments]
+    assert list(map(tuple, got)) == want
+
+
 @pytest.mark.parametrize("width", [times.MINUTE, times.HOUR, 400 * times.DAY])
 def test_asof_join(spark, width):
     left, right = _moments(1, 80), _moments(2, 120)
@@ -50,6 +65,10 @@ def test_range_join(spark):
     got = range_join(spark.createDataFrame(points, "p long, at long"), spark.createDataFrame(spans, "s long, since long, until long"), "at", "since", "until")
     want = [(p, s) for p, at in points for s, a, b in spans if None not in (at, a, b) and a <= at < b]
     assert sorted(map(tuple, got.select("p", "s").collect())) == sorted(want)
+    wide = spark.createDataFrame([(1, 2**50 - 1, 2**51 + 1), (2, -(2**55) - 2, 2**55)], "s long, since long, until long")  # lengths next to powers of two
+    ends = [2**50 - 2, 2**50 - 1, 2**50, 2**51 - 1, 2**51, 2**51 + 1, -(2**55) - 3, -(2**55) - 2, -(2**55), 0, 2**55 - 1, 2**55]
+    got = range_join(spark.createDataFrame([(x,) for x in ends], "at long"), wide, "at", "since", "until")
+    assert sorted(map(tuple, got.select("at", "s").collect())) == sorted((x, s) for x in ends for s, a, b in ((1, 2**50 - 1, 2**51 + 1), (2, -(2**55) - 2, 2**55)) if a <= x < b)
     assert range_join(spark.createDataFrame(points, "p long, at long"), spark.createDataFrame([], "s long, since long, until long"), "at", "since", "until").count() == 0
 
 
