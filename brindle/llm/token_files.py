@@ -21,7 +21,10 @@ memory-mapped for reading, others are read by range.
 Byte-level tokenizers with the usual pattern never join a space, or a line end,
 to what stands before it when a word follows, nor a stop to a letter before it.  For these, texts are cut there,
 each distinct piece of a batch is encoded once, and the ids are gathered; the
-result is that of whole texts.  Other tokenizers encode whole texts.
+result is that of whole texts.  Of a run of white space before a word only the
+last character stands alone, so a cut after a line end needs one before it too.
+A text's end and an added token end such a run, so no word follows it there.
+Other tokenizers encode whole texts.
 
 Cases: a null or empty text has only the end id.  A null doc_id comes first.
 Repeated ids and rows are kept as separate documents.  An empty table gives a
@@ -103,6 +106,7 @@ class _Pieces:
 
     def __init__(self, encoder, end_id: int, dtype: str) -> None:
         self.encoder, self.end, self.dtype = encoder, end_id, dtype
+        self.added = [t["content"].encode() for t in json.loads(encoder.to_str()).get("added_tokens", [])]
         self._forget()
 
     def _forget(self) -> None:
@@ -110,16 +114,28 @@ class _Pieces:
         self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, self.dtype)
 
+    def _added(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place, bytes) of what may be an added token."""
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while token and at >= 0:
+                yield at, len(token)
+                at = raw.find(token, at + 1)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows with their end ids, number of ids of each row)."""
         n_rows = len(offsets) - 1
         begins = np.zeros(len(data) + 1, bool)
         if len(data):
             after = _AFTER[data[1:]]
+            after[offsets[(offsets > 0) & (offsets < len(data))] - 1] = False  # the next text
             begins[1:-1] = (data[1:] == 0x0A) & _INK[data[:-1]]
-            begins[1:-1] |= (data[:-1] == 0x0A) & after
             begins[1:-1] |= _LETTER[data[:-1]] & _STOP[data[1:]]
-            begins[1:-2] |= (data[1:-1] == 0x20) & after[1:]
+            begins[:-2] |= ((data[:-1] == 0x0A) | (data[:-1] == 0x20)) & after
+            begins[1:-1] |= (data[:-1] == 0x0A) & after
+            for at, n in self._added(data):
+                begins[max(at - 1, 0) : at + n] = False
         begins[offsets] = True
         begins[len(data)] = False
         starts = np.flatnonzero(begins)

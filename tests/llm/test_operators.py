@@ -86,6 +86,35 @@ def test_token_files(spark, docs, rows, empty):
     assert token_files.read_tokens(spark, token_files.write_tokens(empty, path)).count() == 0
 
 
+def test_token_files_white_space(spark, tmp_path):
+    """Paragraph breaks, and runs of white space before a text's end or an added token."""
+    tokenizers = pytest.importorskip("tokenizers")
+    letters = sorted(tokenizers.pre_tokenizers.ByteLevel.alphabet())
+    joined = [("\u0120", "\u0120"), ("\u010a", "\u010a"), ("\u0120\u0120", "\u0120\u0120"), ("\u010a", "a")]
+    own = tokenizers.Tokenizer(tokenizers.models.BPE({t: k for k, t in enumerate([*letters, *map("".join, joined)])}, joined))
+    own.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own.add_special_tokens(["<|endoftext|>"])
+    own.save(str(tmp_path / "own.json"))
+    paths = [str(tmp_path / "own.json")]
+    try:
+        import public_tokenizers
+
+        paths.append(public_tokenizers.path("byte_bpe_50k.json"))
+    except ImportError:
+        pass
+    draw = random.Random(8)
+    parts = ["\n", "\n\n", "\n\n\n", " ", "  ", "\t", "\r\n", "\u3000", "\x85", "a", "Wo", "\u00e9", "\u4e2d", "1", ".", ",", "'s", "-", "<|endoftext|>"]
+    texts = ["x\n\na", "a\n\n\n\nb", "First.\n\nSecond\n\n\nthird", "foo  ", "bar\n\n", "x  <|endoftext|>  z\n\n<|endoftext|> y"]
+    texts += ["".join(draw.choice(parts) for _ in range(draw.randrange(0, 14))) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for path in paths:
+        encoder = tokenizers.Tokenizer.from_file(path)
+        assert token_files._cuts_hold(encoder)
+        got = token_files.read_tokens(spark, token_files.write_tokens(docs, path), tokens=True).orderBy("doc_id").collect()
+        wrong = [t for t, r in zip(texts, got, strict=True) if r.ids != encoder.encode(t, add_special_tokens=False).ids + [0]]
+        assert not wrong
+
+
 def groups(rows, k=5, percent=80):
     sets, up = {}, {}
     for x, (d, t, *_) in enumerate(rows):
