@@ -14,8 +14,12 @@ word (a word that is in templates and is no function word) can have a feature;
 all others are unknown by the model's own bias, so they are passed over.
 
 Cases: null and empty texts have no paragraphs.  A paragraph is a line; long
-lines are also read sentence by sentence.  Repeated rows get equal results.  An
-empty table gives an empty result.
+lines are read sentence by sentence.  Wrapped notices are paragraphs too: lines
+without a blank one between them are joined, comment marks stripped, and read by
+sentences, by pairs of sentences that confirm nothing, and, if short and nothing
+else confirms, whole.  A line inside a sentence that is nearer to another family
+is not confirmed.  Repeated rows get equal results.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -53,7 +57,11 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
-    "LGPL": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "LGPL": [
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
@@ -79,6 +87,9 @@ COMMON = {"a", "all", "an", "and", "any", "are", "as", "at", "be", "by", "can",
 
 UNKNOWN = "unknown"
 _WORDS = re.compile("[a-z0-9\u0080-\U0010ffff]+")
+_STOPS = re.compile(r"(?<=[.!?;:])\s+")
+#: Comment marks at the start of a line.
+_MARKS = re.compile(r"(?:<!--|(?:REM|rem|dnl)\b|[\s/*#;%!|>\"'-])*+")
 LONG = 60
 
 
@@ -156,6 +167,8 @@ class Model:
     def judge(self, paragraph: str, least: float) -> tuple[str, float, float] | None:
         """(family, probability, likeness to its nearest template), or None for unknown."""
         words = _words(paragraph)
+        if not any(g in self.features for g in _grams(words)):
+            return None  # unknown by the bias
         p = self._soft(self._matrix([words]) @ self.weights / self.temperature)[0]
         k = int(p.argmax())
         if self.classes[k] == UNKNOWN or p[k] < least:
@@ -175,10 +188,70 @@ def paragraphs(text: str) -> Iterator[tuple[int, str]]:
         if len(line.split(None, LONG)) <= LONG:
             yield k, line
         else:
-            for sentence in re.split(r"(?<=[.!?;:])\s+", line):
+            for sentence in _STOPS.split(line):
                 yield k, sentence
 
 
+def _bare(line: str) -> str:
+    """A line without comment marks at its ends."""
+    return line[_MARKS.match(line).end() :].rstrip().removesuffix("-->").rstrip(" \t\r/*#|")
+
+
+def blocks(text: str) -> Iterator[list[tuple[int, str]]]:
+    """Runs of two and more lines that are not blank without their comment marks, as (line, its words)."""
+    held: list[tuple[int, str]] = []
+    for k, line in enumerate([*text.split("\n"), ""]):
+        bare = _bare(line)
+        if bare:
+            held.append((k, bare))
+            continue
+        if len(held) > 1:
+            yield held
+        held = []
+
+
+def notices(own: Model, text: str, least: float, like: float) -> list[dict]:
+    """What is found in the lines of a text, then in joined lines, in order of their first line."""
+
+    def judged(line: int, paragraph: str) -> dict | None:
+        seen = own.judge(paragraph, least)
+        return seen and {"line": line, "family": seen[0], "probability": round(seen[1], 6), "likeness": round(seen[2], 6), "confirmed": seen[2] >= like, "text": paragraph}
+
+    alone = [x for x in (judged(k, paragraph) for k, paragraph in paragraphs(text)) if x]
+    out = list(alone)
+    for block in blocks(text):
+        joined = " ".join(bare for _, bare in block)
+        starts = np.cumsum([0] + [len(bare) + 1 for _, bare in block])
+        inside = [x for x in alone if block[0][0] <= x["line"] <= block[-1][0]]
+        new: list[tuple[int, int, dict]] = []
+
+        def read(a: int, b: int) -> None:
+            first, last = (int(np.searchsorted(starts, at, side="right")) - 1 for at in (a, b - 1))  # noqa: B023
+            x = judged(block[first][0], joined[a:b]) if last > first else None  # noqa: B023
+            if x is None:
+                return
+            within = [y for y in inside if block[first][0] <= y["line"] <= block[last][0]] + [y for c, d, y in new if a <= c and d <= b]  # noqa: B023
+            for y in within:
+                whole = y["text"] in joined[a:b] or _bare(y["text"]) in joined[a:b]  # noqa: B023
+                if x["confirmed"] and whole and y["family"] != x["family"] and y["likeness"] < x["likeness"]:
+                    y["confirmed"] = False
+            if not any(y["family"] == x["family"] and y["confirmed"] >= x["confirmed"] for y in within):
+                new.append((a, b, x))  # noqa: B023
+
+        cuts = [0, *(m.end() for m in _STOPS.finditer(joined)), len(joined)]
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        for a, b in spans:
+            read(a, b)
+        done = [any(y["confirmed"] and a < d and c < b for c, d, y in new) or any(y["confirmed"] and _bare(y["text"]) in joined[a:b] for y in inside) for a, b in spans]
+        for (a, _), (_, b), x, y in zip(spans, spans[1:], done, done[1:], strict=False):
+            if not x and not y:
+                read(a, b)
+        if len(spans) > 2 and len(joined.split(None, LONG)) <= LONG and not any(x["confirmed"] for x in inside + [x for _, _, x in new]):
+            read(0, len(joined))
+        out += [x for _, _, x in new]
+    return sorted(out, key=lambda x: x["line"])
+
+
 def scan_licenses(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), least: float = 0.6, like: float = 0.6) -> DataFrame:
     """The carried columns, families (confirmed, sorted), and found: array of (line, family, probability, likeness, confirmed, text)."""
     chosen = docs.select(*carry, F.col(text).alias("l_text"))
@@ -201,11 +274,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
                 h = kernels.span_hashes(data, s, e)
                 at = np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)
                 for r in np.unique(row[anchors[at] == h]).tolist():
-                    for line, paragraph in paragraphs(texts[first + r].as_py()):
-                        judged = own.judge(paragraph, least)
-                        if judged:
-                            family, p, likeness = judged
-                            places[first + r].append({"line": line, "family": family, "probability": round(p, 6), "likeness": round(likeness, 6), "confirmed": likeness >= like, "text": paragraph})
+                    places[first + r] = notices(own, texts[first + r].as_py(), least, like)
                     families[first + r] = sorted({x["family"] for x in places[first + r] if x["confirmed"]})
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(families, pa.list_(pa.string())), pa.array(places, pa.list_(found))], names=[*batch.schema.names[:-1], "families", "found"])
 

@@ -324,3 +324,42 @@ def test_license_scan(spark, empty):
     assert [r.families for r in got] == [["MIT"], [], [], [], ["GPL"], ["CC-BY-NC"]]
     assert got[0].found[0].line == 1 and license_scan.model().held_out_accuracy > 0.9
     assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_license_scan_wrapped(spark):
+    """Notices over several lines, with comment marks, beside other text and beside each other."""
+    mit = """Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    gpl = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() {}"""
+    bsd = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice."""
+    lgpl = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+    share = "x y\nThis work is licensed under a Creative Commons Attribution\n-NonCommercial 4.0 International License."
+    both = "Released under the MIT License. This work is licensed under the GNU\nGeneral Public License, version 3.\nmore"
+    prose = "The words go on and on\nin lines without an end.\n" * 40
+    none = "The driver must carry a valid\nlicense at all times.\nPlease read the license before you\ninstall the software."
+    texts = [mit, gpl, bsd, lgpl, share, both, prose + gpl[3:] + "\n" + prose, none, mit.replace("\n", "\r\n"), "#" * 30000 + "x\n" + " " * 30000 + "the license\n"]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.families for r in got] == [["MIT"], ["GPL"], ["BSD"], ["LGPL"], ["CC-BY-NC"], ["GPL", "MIT"], ["GPL"], [], ["MIT"], []]
+    assert [x.line for x in got[0].found if x.confirmed] == [2]
