@@ -28,7 +28,8 @@ size and the smallest doc_id that links reach.  It is exact.
    documents, tile by tile: pairs of one component need no more looking at.
 
 Cases: a null or empty text has an empty set and links with nothing; fewer than
-k words are one shingle.  Rows with equal doc_id count as one document.  A null
+k words are one shingle.  Rows with equal doc_id count as one document, which links
+by the set of any of its rows.  A null
 doc_id cannot be named: such a row is in no group and its component_id is null.
 An empty table gives an empty result.  Texts are read whole.
 """
@@ -271,7 +272,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = T
     shared = materialise(posted.join(pivots, "h"), "shared")
     of_ids = named.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "class"), ["s1", "s2"]).select("doc_id", "class").distinct()
     of_ids = materialise(of_ids.filter("doc_id <> class"), "copies")
-    single = shared.join(small(of_ids.select("doc_id").distinct()), "doc_id", "left_anti")
+    # Rows that repeat an id can be a copy and stand for another class; such an id stays in the search, so each class does.
+    standing = classes.select(F.col("class").alias("doc_id")).distinct()
+    gone = materialise(of_ids.select("doc_id").distinct().join(standing, "doc_id", "left_anti"), "gone")
+    single = shared.join(small(gone), "doc_id", "left_anti")
     sizes = named.groupBy("doc_id").agg(F.min("n_shingles").alias("least"))
     # Copies are left out, so an n-gram may now have one document; such n-grams count for nothing.
     twice = single.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most")).filter("pivot <> most").select("h", "pivot")

@@ -148,6 +148,27 @@ def test_jaccard_join(spark, empty, tile):
     assert jaccard_join.jaccard_groups(empty).count() == 0
 
 
+def test_jaccard_join_repeated_ids(spark):
+    """Rows of one id with different texts: a copy in one row must not hide another row."""
+    draw = random.Random(4)
+    text = lambda: [f"v{draw.randrange(10**6)}" for _ in range(60)]
+    one, two = text(), text()
+    near = [*two[:58], "other", "end"]
+    rows = [(1, " ".join(one)), (2, " ".join(one)), (2, " ".join(two)), (3, " ".join(near)), (5, " ".join(two))]
+    got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 5: 1}
+    bases = [text() for _ in range(25)]
+    rows = []
+    for _ in range(90):
+        words = list(draw.choice(bases))
+        for _ in range(draw.choice([0, 0, 1, 1, 2])):
+            words[draw.randrange(60)] = "x"
+        rows.append((draw.randrange(70), " ".join(words)))
+    for tile in (3, 64):
+        got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tile=tile).collect()
+        assert collections.Counter(tuple(r) for r in got) == groups(rows)
+
+
 def test_chat_format(spark):
     hard = ["[INST] a [/INST]", "</s>", "\\", "\\\\b[", "x\\l", "<s></s>[SYS]", "[TURN x] [/TURN]", "[/INST", "", None, "]", "é\n\n"]
     draw = random.Random(3)
