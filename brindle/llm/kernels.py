@@ -2,12 +2,14 @@
 
 Every kernel works on whole texts.  ``slices`` cuts a column into runs of rows
 of half a MB so that temporaries stay bounded; one text longer than a run is a
-run of its own.  Hashes are 64 bits wide: sums of mixed word hashes, with
-arithmetic modulo 2**64.
+run of its own.  Hashes are 64 bits wide and mix each block of bytes before the
+next comes in, so strings of regular build have no collisions by their build.
 """
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK = 500_000
+_ODD = U64(0xD6E8FEB86659FD93)
+_C = ctypes.CDLL(None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,22 +31,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = U64(0xD6E8FEB86659FD93)
-_INVERSE = U64(pow(int(_BASE), -1, 2**64))
-_powers: dict[U64, np.ndarray] = {}
-
-
-def powers(base: U64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest table so far is kept."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.empty(max(n, 4096), U64)
-        have[0] = 1
-        have[1:] = base
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have[:n]
+def words64(data: np.ndarray) -> np.ndarray:
+    """The 64-bit little-endian word that begins at each byte and one past the last; zeros follow the data."""
+    return np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
 
 
 def slices(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -106,12 +97,79 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np
     return starts, ends, row
 
 
+#: Spans of more bytes than this are hashed one by one.
+LONG = 64
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal spans have equal hashes wherever they stand."""
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=total[1:])
-    value = (total[ends] - total[starts]) * powers(_INVERSE, len(data) + 1)[starts]
-    return mix(value ^ ((ends - starts).astype(U64) * U64(0x9FB21C651E98DF25)))
+    """A 64-bit hash of each span of bytes; equal spans have equal hashes wherever they stand.
+
+    Blocks of eight bytes are taken in one after another, each followed by a
+    mixing step that is not linear; long spans have a BLAKE2b digest.
+    """
+    size = ends - starts
+    value = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x9FB21C651E98DF25))
+    long = size > LONG
+    if long.any():
+        raw = data.tobytes() if long.sum() > 1 else None
+        for i in np.flatnonzero(long).tolist():
+            a, b = int(starts[i]), int(ends[i])
+            value[i] = int.from_bytes(hashlib.blake2b(raw[a:b] if raw is not None else data[a:b].tobytes(), digest_size=8).digest(), "little")
+        live = np.flatnonzero(~long)
+    else:
+        live = np.arange(len(size))
+    block = words64(data)
+    j = 0
+    while len(live):
+        live = live[size[live] > j]
+        left = np.minimum(size[live] - j, 8)
+        value[live] = mix(value[live] ^ (block[starts[live] + j] & _KEEP[left])) + _ODD
+        j += 8
+    return value
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span holds the same bytes as its counterpart in ``other``."""
+    size = ends - starts
+    same = size == other_ends - other_starts
+    long = np.flatnonzero(same & (size > LONG))
+    for i in long.tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], other[other_starts[i] : other_ends[i]])
+    left, right = words64(data), words64(other)
+    live = np.flatnonzero(same & (size <= LONG))
+    j = 0
+    while len(live):
+        live = live[size[live] > j]
+        keep = _KEEP[np.minimum(size[live] - j, 8)]
+        here = (left[starts[live] + j] & keep) == (right[other_starts[live] + j] & keep)
+        same[live[~here]] = False
+        live = live[here]
+        j += 8
+    return same
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the ``width`` bytes at each place that has so many; ``width`` is 8 times a power of two.
+
+    Doubling: the hash of twice as many bytes mixes those of both halves, not linearly.
+    """
+    out = mix(words64(data)[: max(0, len(data) - 7)] + _ODD)
+    size = 8
+    while size < width:
+        half = out[: max(0, len(out) - size)]
+        out = mix((half * U64(0xFF51AFD7ED558CCD)) ^ out[size:])
+        size *= 2
+    return out
+
+
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the machine: workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        _C.malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
 
 
 _MULTIPLIERS = mix(np.arange(100, 116, dtype=U64)) | U64(1)
