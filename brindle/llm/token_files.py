@@ -80,8 +80,9 @@ def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-#: Pieces whose ids a worker keeps between batches.
-KEPT_PIECES = 1_500_000
+#: Pieces whose ids a worker keeps between batches, and the bytes of all of them.
+KEPT_PIECES = 1_000_000
+KEPT_BYTES = 32_000_000
 
 #: Bytes that can follow a cut: printable ASCII, and first bytes of characters of which none is white space.
 _AFTER = kernels.class_table((0x21, 0x7E), (0xC3, 0xDF), (0xE4, 0xF4))
@@ -113,6 +114,13 @@ class _Pieces:
         self.known = np.empty(0, np.uint64)
         self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, self.dtype)
+        self.raw, self.begin, self.end_ = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)  # the pieces' own bytes
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        ids = [np.array(e.ids + [self.end], self.dtype) for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(ids), np.array([len(x) for x in ids])
 
     def _added(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
         """(place, bytes) of what may be an added token."""
@@ -124,7 +132,11 @@ class _Pieces:
                 at = raw.find(token, at + 1)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows with their end ids, number of ids of each row)."""
+        """(ids of all rows with their end ids, number of ids of each row).
+
+        Pieces are looked up by hash and then compared byte by byte; should two
+        different ones share a hash, the texts are encoded whole.
+        """
         n_rows = len(offsets) - 1
         begins = np.zeros(len(data) + 1, bool)
         if len(data):
@@ -142,23 +154,33 @@ class _Pieces:
         ends = np.append(starts[1:], len(data))[: len(starts)]
         row = np.searchsorted(offsets, starts, side="right") - 1
         values, at, inverse = np.unique(kernels.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        first, last = starts[at], ends[at]
+        if not kernels.same_spans(data, starts, ends, data, first[inverse], last[inverse]).all():
+            return self._whole(data, offsets)
         place = np.searchsorted(self.known, values)
         new = np.ones(len(values), bool)
         inside = place < len(self.known)
         new[inside] = self.known[place[inside]] != values[inside]
+        old = place[~new]
+        if not kernels.same_spans(data, first[~new], last[~new], self.raw, self.begin[old], self.end_[old]).all():
+            return self._whole(data, offsets)
         if new.any():
-            if len(self.known) + new.sum() > KEPT_PIECES:
+            if len(self.known) + new.sum() > KEPT_PIECES or len(self.raw) + len(data) > KEPT_BYTES:
                 self._forget()
                 new[:] = True
             raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-            lists = [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+            own = [raw[a:b] for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
+            lists = [e.ids for e in self.encoder.encode_batch_fast([x.decode() for x in own], add_special_tokens=False)]
             size = np.array([len(x) for x in lists], np.int64)
             start = len(self.ids) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(lists), self.dtype, int(size.sum()))])
+            end = len(self.raw) + np.cumsum(last[new] - first[new])
+            self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(own), np.uint8)])
             known = np.concatenate([self.known, values[new]])
             order = np.argsort(known, kind="stable")
-            self.known, self.start, self.size = known[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+            self.known = known[order]
+            for name, more in (("start", start), ("size", size), ("begin", end - (last[new] - first[new])), ("end_", end)):
+                setattr(self, name, np.concatenate([getattr(self, name), more])[order])
             place = np.searchsorted(self.known, values)
         start, size = self.start[place][inverse], self.size[place][inverse]
         total = np.bincount(row, size, minlength=n_rows).astype(np.int64)
@@ -237,6 +259,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
         for kind, f in files.items():
             f.close()
             filesystem.move(*names[kind])
+        kernels.release()
         if n_docs:
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
@@ -247,13 +270,20 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     return folder
 
 
-def _open(filesystem, path: str, dtype: str) -> np.ndarray:
+def _reader(filesystem, path: str, dtype: str):
+    """A function (a, b) that gives entries a to b of a flat file: from a memory map, or by range."""
     from pyarrow import fs
 
+    width = np.dtype(dtype).itemsize
     if isinstance(filesystem, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-    with filesystem.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        whole = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+        return lambda a, b: whole[a:b]
+    file = filesystem.open_input_file(path)
+    return lambda a, b: np.frombuffer(file.read_at((b - a) * width, a * width), dtype)
+
+
+#: Documents that are read together at most, and ids.
+READ_DOCS, READ_IDS = 1000, 4_000_000
 
 
 def read_tokens(spark: SparkSession, folder: str, tokens: bool = False) -> DataFrame:
@@ -264,23 +294,27 @@ def read_tokens(spark: SparkSession, folder: str, tokens: bool = False) -> DataF
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = _filesystem(folder)
         for batch in batches:
-            for shard, base, width in zip(*(batch.column(c).to_pylist() for c in ("shard", "base", "width")), strict=True):
-                at = lambda kind: f"{root}/{kind}-{shard:06d}.bin"  # noqa: B023, E731
-                offsets = _open(filesystem, at("offsets"), "<u8").astype(np.int64)
-                ids = _open(filesystem, at("tokens"), f"<u{width}")
-                names, missing = _open(filesystem, at("ids"), "<i8"), _open(filesystem, at("nulls"), "u1")
-                for k in range(0, len(names), 1000):
-                    here = range(k, min(k + 1000, len(names)))
-                    parts = [np.ascontiguousarray(ids[offsets[i] : offsets[i + 1]]).astype("<u4") for i in here]
+            for shard, base, n_docs, width in zip(*(batch.column(c).to_pylist() for c in ("shard", "base", "n_docs", "width")), strict=True):
+                at = lambda kind, dtype: _reader(filesystem, f"{root}/{kind}-{shard:06d}.bin", dtype)  # noqa: B023, E731
+                offsets, ids, names, missing = at("offsets", "<u8"), at("tokens", f"<u{width}"), at("ids", "<i8"), at("nulls", "u1")
+                k = 0
+                while k < n_docs:
+                    bounds = np.asarray(offsets(k, min(k + READ_DOCS, n_docs) + 1)).astype(np.int64)
+                    n = max(1, int(np.searchsorted(bounds, bounds[0] + READ_IDS, side="right")) - 1)
+                    bounds = bounds[: n + 1]
+                    flat = np.ascontiguousarray(ids(int(bounds[0]), int(bounds[-1]))).astype("<u4")
+                    parts = np.split(flat, bounds[1:-1] - bounds[0])
                     columns = {
-                        "doc_id": pa.array(np.array(names[here.start : here.stop], np.int64), mask=np.array(missing[here.start : here.stop], bool)),
-                        "start": pa.array(base + offsets[here.start : here.stop]),
-                        "n_tokens": pa.array(np.diff(offsets[here.start : here.stop + 1])),
-                        "ids_crc32": pa.array([zlib.crc32(p) for p in parts], pa.int64()),
+                        "doc_id": pa.array(np.array(names(k, k + n), np.int64), mask=np.array(missing(k, k + n), bool)),
+                        "start": pa.array(base + bounds[:-1]),
+                        "n_tokens": pa.array(np.diff(bounds)),
+                        "ids_crc32": pa.array([zlib.crc32(np.ascontiguousarray(p)) for p in parts], pa.int64()),
                     }
                     if tokens:
                         columns["ids"] = pa.array([p.astype(np.int64) for p in parts], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(columns)
+                    k += n
+        kernels.release()
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return manifest.repartitionByRange(n, "shard").mapInArrow(read, schema)
