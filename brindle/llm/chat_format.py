@@ -10,10 +10,11 @@ of its role:
 
 The parser reads a turn from its opening mark to the first closing mark of the
 same kind and takes escapes back.  Each rendering is parsed again and compared
-to the source; only where they differ is content escaped, in levels: nothing,
-then control strings and the escape character, then every bracket.  The first
-level whose round trip is exact is used, and ``round_trip`` says that it was.
-All of it is DataFrame expressions.
+to the source, and no control string may stand in it but the marks themselves,
+of whatever role: a text that holds one would open or close a turn for another
+parser.  Where either fails, content is escaped, in levels: nothing, then control
+strings and the escape character, then every bracket.  The first level that passes
+is used, and ``round_trip`` says that it did.  All of it is DataFrame expressions.
 
 Cases: a null text or role is empty (a null role is one of the others).  Turns
 that tie in number follow in order of (role, text); a null turn comes first.  A
@@ -32,6 +33,7 @@ OTHER = ("[TURN ", "[/TURN]")
 CONTROL = ("<s>", "</s>", "[SYS]", "[/SYS]", "[INST]", "[/INST]", "[TURN ", "[/TURN]")
 
 _GRAMMAR = r"(?s)\[SYS\].*?\[/SYS\]|\[INST\].*?\[/INST\]|<s>.*?</s>|\[TURN [^\]]*\].*?\[/TURN\]"
+_CONTROL = r"</?s>|\[/?SYS\]|\[/?INST\]|\[TURN |\[/TURN\]"
 _BLOCK = 256
 
 
@@ -115,7 +117,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", text("role").alias("role"), text("text").alias("text")))).alias("turns"))
     df = turns.withColumn("source", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
     render = lambda level: F.array_join(F.transform("source", lambda x: _render(x, level)), "")
-    same = lambda c: F.coalesce((parse(F.col(c)) == F.col("source")) & (F.array_join(split_turns(F.col(c)), "") == F.col(c)), F.lit(False))
+    marks_only = lambda c: F.regexp_count(c, F.lit(_CONTROL)) == 2 * F.size("source")
+    same = lambda c: F.coalesce((parse(F.col(c)) == F.col("source")) & (F.array_join(split_turns(F.col(c)), "") == F.col(c)) & marks_only(c), F.lit(False))
     df = df.withColumn("formatted", render(0)).withColumn("exact", same("formatted")).withColumn("level", F.lit(0))
     for level in (1, 2):
         df = df.withColumn("formatted", F.when(F.col("exact"), F.col("formatted")).otherwise(render(level))).withColumn("level", F.when(F.col("exact"), F.col("level")).otherwise(F.lit(level)))
