@@ -20,8 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the registered query where the session has no ``spark.brindle.pii.key``; it is public, so it hides nothing.
+SHOWN_KEY = "for the given tables only"
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    found = pii.pseudonymise(_table(spark, sf_dir, "documents"), spark.conf.get("spark.brindle.pii.key", SHOWN_KEY))
     return found.select("doc_id", "text", "n_found", F.array_join("kinds", ",").alias("kinds"))
 
 
@@ -97,15 +101,16 @@ m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  [1000 * n_symbols // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), least(2000, 20 * word_chars // greatest(n_words, 1))] AS bins FROM m),
-u AS (SELECT lang, source, k, bins[k] AS v FROM b, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE NOT base_failed),
-q0 AS (SELECT lang, source, k, count(*) AS n, quantile_disc(v, 0.1) AS low, quantile_disc(v, 0.5) AS mid FROM u GROUP BY ALL),
-q1 AS (SELECT lang, k, count(*) AS n, quantile_disc(v, 0.1) AS low, quantile_disc(v, 0.5) AS mid FROM u GROUP BY ALL),
-q2 AS (SELECT k, count(*) AS n, quantile_disc(v, 0.1) AS low, quantile_disc(v, 0.5) AS mid FROM u GROUP BY ALL),
-f AS (SELECT q0.lang, q0.source, q0.k, CASE WHEN q0.n >= 100 THEN q0.low WHEN q1.n >= 100 THEN q1.low ELSE q2.low END AS low, CASE WHEN q0.n >= 100 THEN q0.mid WHEN q1.n >= 100 THEN q1.mid ELSE q2.mid END AS mid
-  FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.k = q1.k JOIN q2 ON q0.k = q2.k),
-x AS (SELECT doc_id, bool_and(bins[f.k] <= mid + 4 * greatest(mid - low, [10, 150, 100, 15][f.k]) AND (f.k < 4 OR bins[4] >= mid - 4 * greatest(mid - low, 15))) AS inside
-  FROM b JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source GROUP BY doc_id)
+  [1000000 * n_symbols // greatest(word_chars, 1), 1000000 * n_dup_lines // greatest(n_lines, 1), 1000000 * n_repeat_words // greatest(n_words, 1), 1000 * word_chars // greatest(n_words, 1)] AS v,
+  [word_chars, n_lines, n_words, 0] AS d FROM m),
+u AS (SELECT lang, source, k, v[k] AS v, d[k] AS d FROM b, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE NOT base_failed),
+q AS (SELECT k, GROUPING(lang) + GROUPING(source) AS up, lang, source, count(*) AS n,
+  list_transform([quantile_disc(v, 0.25), quantile_disc(v, 0.5), quantile_disc(v, 0.75), quantile_disc(d, 0.25)], lambda x: CASE WHEN x < 128 THEN x ELSE (x >> (length(bin(x)) - 7)) << (length(bin(x)) - 7) END) AS q
+  FROM u GROUP BY GROUPING SETS ((k, lang, source), (k, lang), (k))),
+f AS (SELECT a.lang, a.source, a.k, CASE WHEN a.n >= 20 THEN a.q WHEN l.n >= 20 THEN l.q ELSE c.q END AS q, CASE WHEN l.n >= 20 THEN l.q ELSE c.q END AS p
+  FROM q a JOIN q l ON a.up = 0 AND l.up = 1 AND a.k = l.k AND a.lang IS NOT DISTINCT FROM l.lang JOIN q c ON c.up = 2 AND c.k = a.k),
+s AS (SELECT lang, source, k, q[2] AS mid, 16 * greatest(q[3] - q[2], q[2] - q[1], p[3] - p[2], p[2] - p[1], [1, 1, 6, 0][k] * 1000000 // greatest(q[4], 1)) AS reach FROM f),
+x AS (SELECT doc_id, bool_and(v[s.k] <= mid + reach AND (s.k < 4 OR v[4] >= mid - reach)) AS inside FROM b JOIN s ON b.lang IS NOT DISTINCT FROM s.lang AND b.source IS NOT DISTINCT FROM s.source GROUP BY doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, true) AS kept FROM b LEFT JOIN x USING (doc_id)
 """
 
@@ -124,7 +129,7 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
 m AS (SELECT *, CASE role WHEN 'system' THEN '[SYS]' WHEN 'user' THEN '[INST]' WHEN 'assistant' THEN '<s>' ELSE '[TURN ' || role || ']' END AS opening,
   CASE role WHEN 'system' THEN '[/SYS]' WHEN 'user' THEN '[/INST]' WHEN 'assistant' THEN '</s>' ELSE '[/TURN]' END AS closing FROM t),
-e AS (SELECT *, contains(text, closing) OR regexp_matches(text, '\\[\\blr]') AS conflict,
+e AS (SELECT *, len(list_filter(['<s>', '</s>', '[SYS]', '[/SYS]', '[INST]', '[/INST]', '[TURN ', '[/TURN]'], lambda c: contains(text, c))) > 0 OR regexp_matches(text, '\\[\\blr]') AS conflict,
   length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + len(regexp_extract_all(text, '</?s>|\[/?SYS\]|\[/?INST\]|\[TURN |\[/TURN\]')) AS escaped FROM m)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
