@@ -12,16 +12,21 @@ A word that the benchmark lacks can be in no match, so the array leaves out
 every run of benchmark words that is shorter than the shortest window; no match
 is lost.  Training texts are read once and never shuffled.
 
-The benchmark travels to the tasks in blocks of bounded size
-(``BLOCK_CHARS``); a larger benchmark just means more blocks, each searched in
-turn in the same pass.  The driver and each Python worker hold one block at a
-time; the others wait on the executor's disk.  A block is made ready once for all
-texts of an Arrow batch.
+The benchmark is written to the shared folder in blocks of about ``BLOCK_CHARS``,
+dealt out by hash; a larger benchmark just means more blocks, each searched in turn
+in the same pass.  Nothing of it passes through the driver or a broadcast.  A
+worker holds one block at a time and keeps it from task to task.  Equal windows of
+a block are one entry, so repeated items cost nothing in the search, and the
+smaller side of window entries and shard suffixes is looked up in the larger one:
+the work follows the suffixes that consist of benchmark words, not the benchmark.
+The folder must be one that ``pyarrow.fs`` can reach, like that of the token files.
 
 Cases: null and empty texts have no words and match nothing.  Repeated items
 all count, each under its id; a null item_id is left out of the list of ids but
 its words still hit.  Items without words match nothing.  An empty benchmark
-leaves all documents clean.  Ties and repeated rows get equal results.
+leaves all documents clean.  Ties and repeated rows get equal results.  Texts are
+read whole, however long.  A carried column may have any name; one called like a
+column that the operator adds gives way to it.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .shared import filesystem_of, new_path
 
 BLOCK_CHARS = 8_000_000
 
@@ -42,7 +48,11 @@ class _Block:
     """Windows of some items: distinct window prefixes by length, sorted, and the items of each."""
 
     def __init__(self, items: list[tuple[int | None, str]], width: int) -> None:
-        column = pa.array([t for _, t in items], pa.large_string())
+        ids_of: dict[str, list[int]] = {}  # equal texts are one item with several ids
+        for i, t in items:
+            ids_of.setdefault(t, []).extend([] if i is None else [i])
+        self.names = list(ids_of.values())
+        column = pa.array(list(ids_of), pa.large_string())
         hashes, rows = [], []
         for first, data, offsets in kernels.slices(column):
             data = kernels.lower(data)
@@ -53,8 +63,9 @@ class _Block:
         row = np.concatenate(rows) if rows else np.empty(0, np.int64)
         self.vocabulary, ids = np.unique(h, return_inverse=True)
         ids = ids + 1  # 0 is a word that the benchmark lacks
-        count = np.bincount(row, minlength=len(items))
+        count = np.bincount(row, minlength=len(self.names))
         first = np.cumsum(count) - count
+        #: words of a window -> distinct windows, where the occurrences of each begin, their items, their places in them
         self.groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted({int(min(c, width)) for c in count if c}):
             own = np.flatnonzero(count >= width) if n == width else np.flatnonzero(count == n)
@@ -62,8 +73,9 @@ class _Block:
             item = np.repeat(own, count[own] - n + 1)
             keys = _keys(ids, starts, n)
             order = np.argsort(keys, kind="stable")
-            self.groups[n] = (keys[order], item[order], (starts - first[item])[order], starts[order])
-        self.names = [i for i, _ in items]
+            keys = keys[order]
+            new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            self.groups[n] = (keys[new], np.append(new, len(keys)), item[order], (starts - first[item])[order])
 
 
 def _keys(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -72,8 +84,13 @@ def _keys(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return table.view(f"S{4 * n}").ravel() if len(table) else np.empty(0, f"S{4 * n}")
 
 
-def _search(block: _Block, hashes: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(n, word positions, items, item positions) of all places of windows of n words."""
+def _expand(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin .. begin + size - 1 of each entry, one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _search(block: _Block, hashes: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, word positions, numbers of the distinct windows of n words that stand there)."""
     if not len(block.vocabulary) or not len(hashes):
         return
     at = np.minimum(np.searchsorted(block.vocabulary, hashes), len(block.vocabulary) - 1)
@@ -83,42 +100,57 @@ def _search(block: _Block, hashes: np.ndarray, row: np.ndarray) -> Iterator[tupl
     edge[1:-1] = (known[1:] != known[:-1]) | (row[1:] != row[:-1])
     cuts = np.flatnonzero(edge)
     left = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(ids))  # words from here to the end of the run
-    for n, (windows, item, place, _) in block.groups.items():
+    for n, (windows, *_) in block.groups.items():
         starts = np.flatnonzero(known & (left >= n))
         if not len(starts):
             continue
         keys = _keys(ids, starts, n)
         array = np.argsort(keys, kind="stable")  # the suffix array of the shard
         keys = keys[array]
-        low = np.searchsorted(keys, windows, side="left")
-        high = np.searchsorted(keys, windows, side="right")
-        found = np.flatnonzero(high > low)
-        if len(found):
-            times = high[found] - low[found]
-            inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            yield n, starts[array[np.repeat(low[found], times) + inner]], np.repeat(item[found], times), np.repeat(place[found], times)
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The benchmark in blocks of at most BLOCK_CHARS (a longer item is a block of its own), one after another."""
-    block, size = [], 0
-    rows = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).orderBy("item_id", "text")
-    for item, text in rows.toLocalIterator():
-        if block and size + len(text) > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text)
-    if block:
-        yield block
-
-
-def _received(sent) -> list[tuple[int | None, str]]:
-    """The items of a broadcast block, which this process does not keep; its file on the executor is read again when needed."""
-    items = sent.value
-    if getattr(sent, "_path", None):
-        del sent._value
-    return items
+        if len(windows) <= len(keys):
+            low, high = (np.searchsorted(keys, windows, side=side) for side in ("left", "right"))
+            found = np.flatnonzero(high > low)
+            size = high[found] - low[found]
+            places, window = array[_expand(low[found], size)], np.repeat(found, size)
+        else:
+            near = np.minimum(np.searchsorted(windows, keys), len(windows) - 1)
+            same = windows[near] == keys
+            places, window = array[same], near[same]
+        if len(places):
+            yield n, starts[places], window
+
+
+def _write_blocks(benchmark: DataFrame) -> tuple[str, int]:
+    """Write the benchmark's items in blocks; returns the folder and the number of blocks."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull())
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-size // BLOCK_CHARS))
+    path = new_path(benchmark.sparkSession, "benchmark")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    dealt.repartition(int(min(n, 1000)), "block").write.partitionBy("block").parquet(path)
+    return path, int(n)
+
+
+_held: dict[str, tuple] = {}
+
+
+def _block(path: str, k: int, width: int) -> _Block:
+    """Block k of the benchmark; a worker keeps the one that it used last."""
+    if _held.get("name") != (path, k, width):
+        _held.clear()  # so that two blocks are never held
+        from pyarrow import fs
+        from pyarrow import parquet
+
+        filesystem, root = filesystem_of(path)
+        found = filesystem.get_file_info(fs.FileSelector(f"{root}/block={k}", allow_not_found=True))
+        tables = [parquet.ParquetFile(filesystem.open_input_file(f.path)).read(["item_id", "text"]) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".parquet")]
+        items = [x for t in tables for x in zip(*(t.column(c).to_pylist() for c in ("item_id", "text")), strict=True)]
+        _held.update(name=(path, k, width), block=_Block(items, width))
+    return _held["block"]
+
+
+#: Columns that the operator adds.
+OWN = ("n_words", "n_hit", "items", "contaminated", "matches")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", carry: tuple[str, ...] = ("doc_id",), matches: bool = False) -> DataFrame:
@@ -127,57 +159,57 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
     With ``matches``, also matches: array of (item_id, item_start, doc_start,
     n_words), the longest verbatim matches in words.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark)]
+    path, n_blocks = _write_blocks(benchmark)
     found = "array<struct<item_id:long,item_start:long,doc_start:long,n_words:long>>"
-    chosen = docs.select(*carry, F.col(text).alias("d_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "d_text")
-    schema = f"{fields}, n_words long, n_hit long, items array<string>, contaminated boolean" + f", matches {found}" * matches
+    kept = [c for c in carry if c not in OWN]
+    own = [f"c_{k}" for k in range(len(kept))]
+    chosen = docs.select(*[F.col(c).alias(x) for c, x in zip(kept, own, strict=True)], *([] if text in kept else [F.col(text).alias("d_text")]))
+    at_text = kept.index(text) if text in kept else len(own)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema if f.name != "d_text")
+    schema = f"{fields}n_words long, n_hit long, items array<string>, contaminated boolean" + f", matches {found}" * matches
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, _Block] | None = None
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("d_text"))
             n_words, n_hit, items, places = [], [], [], []
             shards = []
-            for _, data, offsets in kernels.slices(column):
+            for _, data, offsets in kernels.slices(batch.column(at_text)):
                 data = kernels.lower(data)
                 s, e, row = kernels.words(data, offsets, kernels.NOT_ALNUM)
                 count = np.bincount(row, minlength=len(offsets) - 1)
                 hit = np.zeros(len(s) + 1, np.int64)
                 shards.append((kernels.span_hashes(data, s, e), row, count, hit, [set() for _ in count], [[] for _ in count]))
-            for k, sent in enumerate(blocks):
-                if last is None or last[0] != k:
-                    last = None  # so that two blocks are never held
-                    last = (k, _Block(_received(sent), width))
-                names = last[1].names
-                for hashes, row, count, hit, own, spans in shards:
-                    first = np.cumsum(count) - count
-                    for n, at, item, place in _search(last[1], hashes, row):
+            for k in range(n_blocks):
+                block = _block(path, k, width)
+                for hashes, row, count, hit, ids, spans in shards:
+                    seen: dict[int, set[int]] = {}
+                    for n, at, window in _search(block, hashes, row):
                         np.add.at(hit, at, 1)
                         np.add.at(hit, at + n, -1)
-                        pairs = np.unique(np.stack([row[at], item]), axis=1)
-                        for r, i in pairs.T.tolist():
-                            if names[i] is not None:
-                                own[r].add(str(names[i]))
+                        _, begins, item, place = block.groups[n]
+                        # Each window once for each row, then its items.
+                        rows, windows = np.unique(np.stack([row[at], window]), axis=1)
+                        for r, w in zip(rows.tolist(), windows.tolist(), strict=True):
+                            seen.setdefault(r, set()).update(item[begins[w] : begins[w + 1]].tolist())
                         if matches:
-                            _join(n, at, item, place, row, first, names, spans)
-            for _, row, count, hit, own, spans in shards:
+                            size = begins[window + 1] - begins[window]
+                            here = _expand(begins[window], size)
+                            _join(n, np.repeat(at, size), item[here], place[here], row, np.cumsum(count) - count, block.names, spans)
+                    for r, found_items in seen.items():
+                        ids[r].update(str(x) for i in found_items for x in block.names[i])
+            for _, row, count, hit, ids, spans in shards:
                 covered = np.cumsum(hit[:-1]) > 0
                 n_words += count.tolist()
                 n_hit += np.bincount(row[covered], minlength=len(count)).tolist()
-                items += [sorted(x) for x in own]
+                items += [sorted(x) for x in ids]
                 places += spans
-            columns = [c for k, c in enumerate(batch.columns) if batch.schema.names[k] != "d_text"]
-            names_out = [c for c in batch.schema.names if c != "d_text"]
-            columns += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([x > 0 for x in n_hit], pa.bool_())]
-            names_out += ["n_words", "n_hit", "items", "contaminated"]
+            columns = [*batch.columns[: len(own)], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([x > 0 for x in n_hit], pa.bool_())]
             if matches:
                 columns.append(pa.array(places, pa.list_(pa.struct([(x, pa.int64()) for x in ("item_id", "item_start", "doc_start", "n_words")]))))
-                names_out.append("matches")
-            yield pa.RecordBatch.from_arrays(columns, names=names_out)
+            yield pa.RecordBatch.from_arrays(columns, names=[*own, *OWN[: len(columns) - len(own)]])
+        kernels.release()
 
-    return chosen.mapInArrow(run, schema)
+    out = chosen.mapInArrow(run, schema)
+    return out.select(*[F.col(x).alias(c) for c, x in zip(kept, own, strict=True)], *[c for c in OWN if c in out.columns])
 
 
 def _join(n: int, at: np.ndarray, item: np.ndarray, place: np.ndarray, row: np.ndarray, first: np.ndarray, names: list, spans: list[list[dict]]) -> None:
@@ -189,7 +221,7 @@ def _join(n: int, at: np.ndarray, item: np.ndarray, place: np.ndarray, row: np.n
     cuts = np.append(np.flatnonzero(new), len(at))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         r = row[at[a]]
-        spans[r].append({"item_id": names[item[a]], "item_start": int(place[a]), "doc_start": int(at[a] - first[r]), "n_words": int(b - a - 1 + n)})
+        spans[r] += [{"item_id": x, "item_start": int(place[a]), "doc_start": int(at[a] - first[r]), "n_words": int(b - a - 1 + n)} for x in names[item[a]] or [None]]
 
 
 def items_digest(items: str = "items"):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 #: Words are the maximal runs of characters other than space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A table is broadcast only after its rows are counted and found to be at most this many.
+#: A table is broadcast only after its rows are counted, and its files' bytes, and found to be at most so many.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32_000_000
 
 _written: list[str] = []
 
@@ -38,6 +41,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def filesystem_of(uri: str):
+    """(pyarrow file system, path) of a folder that all executors share."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri)
+
+
 def token() -> str:
     """A name that no other run uses."""
     return uuid.uuid4().hex
@@ -54,15 +68,44 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete all scratch tables of this session; frames that read them end."""
+def aside(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``docs`` with names of their own for all columns but ``keep``, so that none clashes with an operator's columns."""
+    return docs.select(*[F.col(c).alias(c if c in keep else f"aside_{k}") for k, c in enumerate(docs.columns)])
+
+
+def back(out: DataFrame, docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return out.select(*[F.col(c if c in keep else f"aside_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Add to ``paths`` the scratch tables that are made meanwhile."""
+    begin = len(_written)
+    try:
+        yield
+    finally:
+        paths += _written[begin:]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared folder and empty the list; frames that read them end."""
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        name = paths.pop()
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _written:
+            _written.remove(name)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch tables of this session; frames that read them end."""
+    delete(spark, list(_written))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the (already written) table has few rows; otherwise the frame as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """A broadcast hint if the (already written) table has few rows and bytes; otherwise the frame as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the written files
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= rows else df

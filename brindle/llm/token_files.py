@@ -47,21 +47,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels
-from .shared import materialise, new_path
+from .shared import filesystem_of, materialise, new_path
 
 BATCH_CHARS = 2_000_000
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
-
-
 def _encoder(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -239,7 +229,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
                 continue
             if encoder is None:
                 encoder, pieces = _worker(tokenizer, end_id, width)
-                filesystem, root = _filesystem(folder)
+                filesystem, root = filesystem_of(folder)
                 filesystem.create_dir(root, recursive=True)
                 attempt = uuid.uuid4().hex
                 for kind in ("tokens", "offsets", "ids", "nulls"):
@@ -292,7 +282,7 @@ def read_tokens(spark: SparkSession, folder: str, tokens: bool = False) -> DataF
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * tokens
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, root = _filesystem(folder)
+        filesystem, root = filesystem_of(folder)
         for batch in batches:
             for shard, base, n_docs, width in zip(*(batch.column(c).to_pylist() for c in ("shard", "base", "n_docs", "width")), strict=True):
                 at = lambda kind, dtype: _reader(filesystem, f"{root}/{kind}-{shard:06d}.bin", dtype)  # noqa: B023, E731
