@@ -2,7 +2,8 @@
 
 Two documents link when their sets of ``k``-word shingles have a Jaccard
 similarity of at least ``percent`` / 100.  The result has each document's set
-size and the smallest doc_id that links reach.  It is exact.
+size and the smallest doc_id that links reach.  Sets are compared by the 64-bit
+hashes of their n-grams; apart from chance collisions of these it is exact.
 
 1. Equal sets collapse to one class under a 128-bit digest of the set.
 2. Only few n-grams of a document are indexed.  With an order over all n-grams
@@ -94,6 +95,8 @@ def _heavy(docs: DataFrame, k: int, least: int = 32) -> np.ndarray:
                     held, size, n_docs = [], 0, 0
         if size:
             yield flush()
+        held.clear()
+        kernels.release()
 
     counts = materialise(docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "heavy")
     by_size = {r[0]: r[1] for r in counts.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()}  # a row per power of two
@@ -128,6 +131,7 @@ def _documents(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> Data
                 kept = np.bincount(row[keep], minlength=rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept)).astype(np.int32)), pa.array(value[keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), lists], names=["doc_id", "n_shingles", "s1", "s2", "indexed"])
+        kernels.release()
 
     return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n_shingles long, s1 long, s2 long, indexed array<long>")
 
@@ -235,6 +239,7 @@ def _multiply(parts: DataFrame, k: int, percent: int) -> DataFrame:
                 sides.append(side)
         if len(ids) > 1:
             yield from result()
+        kernels.release()
 
     return parts.select("part", "side", "doc_id", "text").mapInArrow(run, "a long, b long")
 
@@ -269,6 +274,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = T
 
     posted = named.select("doc_id", F.explode("indexed").alias("h"))
     pivots = posted.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most")).filter("pivot <> most").select("h")
+    pivots = materialise(pivots, "pivots")  # sums are written before they meet hot n-grams, so that skewed joins can split
     shared = materialise(posted.join(pivots, "h"), "shared")
     of_ids = named.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "class"), ["s1", "s2"]).select("doc_id", "class").distinct()
     of_ids = materialise(of_ids.filter("doc_id <> class"), "copies")
@@ -279,6 +285,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = T
     sizes = named.groupBy("doc_id").agg(F.min("n_shingles").alias("least"))
     # Copies are left out, so an n-gram may now have one document; such n-grams count for nothing.
     twice = single.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("most")).filter("pivot <> most").select("h", "pivot")
+    twice = materialise(twice, "twice")
     counted = single.join(twice, "h").groupBy("doc_id", "pivot").agg(F.count("*").alias("c"))
     whole = Window.partitionBy("doc_id")
     counted = counted.withColumn("all", F.sum("c").over(whole)).withColumn("pivots", F.count("*").over(whole)).join(sizes, "doc_id")
