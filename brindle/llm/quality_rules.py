@@ -114,12 +114,13 @@ def _quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, min_support: int = 20) -> DataFrame:
-    """One row per (lang, source) with a fence for each measure."""
-    groups, langs, corpus = _quantiles(sketch, "lang", "source"), _quantiles(sketch, "lang"), _quantiles(sketch)
+    """One row per (lang, source) with a fence for each measure; ``sketch`` is read several times."""
+    groups, langs = _quantiles(sketch, "lang", "source"), _quantiles(sketch, "lang")
+    corpus = _quantiles(sketch).first().asDict()  # one row
     values = [c for c in groups.columns if c not in ("lang", "source")]
     named = lambda df, k: df.select(*[F.col(c).alias(f"{k}_{c}" if k else c) for c in df.columns])
-    both = named(groups, "g").join(named(langs, "l"), F.col("g_lang").eqNullSafe(F.col("l_lang"))).join(F.broadcast(named(corpus, "c")))  # c has one row
-    chosen = lambda c, *levels: F.coalesce(*[F.when(F.col(f"{k}_total") >= min_support, F.col(f"{k}_{c}")) for k in levels], F.col(f"c_{c}"))
+    both = named(groups, "g").join(named(langs, "l"), F.col("g_lang").eqNullSafe(F.col("l_lang")))
+    chosen = lambda c, *levels: F.coalesce(*[F.when(F.col(f"{k}_total") >= min_support, F.col(f"{k}_{c}")) for k in levels], F.lit(corpus[c]).cast("long"))
     both = both.select(
         F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), *[chosen(c, "g", "l").alias(c) for c in values], *[chosen(c, "l").alias(f"up_{c}") for c in values]
     )
@@ -140,7 +141,7 @@ def quality_rules(docs: DataFrame, text: str = "text", min_support: int = 20, ca
     The measured documents are written once; sketches and verdicts read that.
     """
     measured = materialise(measures(docs, text, carry), "measured")
-    fence = materialise(thresholds(sketches(measured), min_support), "fences")
+    fence = materialise(thresholds(materialise(sketches(measured), "sketches"), min_support), "fences")
     f = small(fence).select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), *[c for c in fence.columns if c not in ("lang", "source")])
     joined = measured.join(f, measured["lang"].eqNullSafe(f["q_lang"]) & measured["source"].eqNullSafe(f["q_source"]), "left")
     inside = F.lit(True)
