@@ -12,7 +12,7 @@ white space at their ends; lines of fewer than ``min_words`` words always stay.
 A null site counts as one site.  Repeated rows are handled alike (they are known
 by doc_id and a hash of the text).  A null doc_id is an id like others.  An
 empty table gives an empty result.  Columns named ``n_lines`` or ``n_removed``
-are replaced.
+are replaced; others may have any name.  Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialise, small
+from .shared import WORD, aside, materialise, small
 
 
 def _lines(docs: DataFrame, text: str, site: str, min_words: int) -> DataFrame:
@@ -45,6 +45,8 @@ def boilerplate(lines: DataFrame, min_sites: int, margin: float = 0.25) -> DataF
 
 def line_dedup(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 6, min_words: int = 3) -> DataFrame:
     """``docs`` with boilerplate lines removed from the text, and n_lines and n_removed of each document."""
+    names = {f"aside_{k}" if c not in ("doc_id", text, site) else c: c for k, c in enumerate(docs.columns)}
+    docs = aside(docs, ("doc_id", text, site))
     lines = materialise(_lines(docs, text, site, min_words), "lines")
     common = materialise(boilerplate(lines, min_sites), "boilerplate")
     found = lines.join(small(common.select("h1", "h2")), ["h1", "h2"])
@@ -56,7 +58,7 @@ def line_dedup(docs: DataFrame, text: str = "text", site: str = "source", min_si
     # Between two removed places lies a run of lines that stays.
     before = "coalesce(get(l_places, j - 1), -1)"
     kept = F.expr(f"flatten(transform(array_append(l_places, size(l_lines)), (q, j) -> slice(l_lines, {before} + 2, q - {before} - 1)))")
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", text)]
+    columns = [F.col(x).alias(c) for x, c in names.items() if c not in ("n_lines", "n_removed", text)]
     return marked.select(
         *columns,
         F.when(F.col("l_places").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text),
