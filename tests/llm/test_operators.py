@@ -324,6 +324,45 @@ def test_line_dedup(spark, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_clashes_and_long_texts(spark):
+    """Columns called like the operator's own, and a text of 200,000 lines."""
+    long = "\n".join(f"line {k} of many" if k % 2 else "the same line everywhere" for k in range(200_000))
+    rows = [(k, "the same line everywhere\nown words here %d" % k, f"s{k}", 7, 8, 9, 1, 2) for k in range(8)] + [(8, long, "s8", 7, 8, 9, 1, 2)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string, l_own int, l_places int, l_id int, n_lines int, l_lines int")).orderBy("doc_id").collect()
+    assert got[0].asDict() == {"doc_id": 0, "source": "s0", "l_own": 7, "l_places": 8, "l_id": 9, "l_lines": 2, "text": "own words here 0", "n_lines": 2, "n_removed": 1}
+    assert (got[8].n_lines, got[8].n_removed, len(got[8].text.split("\n"))) == (200_000, 100_000, 100_000)
+
+
+def test_clashing_columns(spark, rows):
+    """Carried columns called like the operators' own give way or stay, as the docstrings say; results are the same."""
+    docs = spark.createDataFrame([(r[0], r[1], 1, 2, 3, 4) for r in rows], "doc_id long, text string, key int, n_words int, kept int, s_key int")
+    plain = docs.select("doc_id", "text")
+    carry = ("doc_id", "key", "kept", "s_key")
+    got, want = (suffix_dedup.remove_repeats(x, 400, carry=c).orderBy("doc_id", "kept_sha256").collect() for x, c in ((docs, carry), (plain, ("doc_id",))))
+    assert [(r.doc_id, r.n_removed, r.kept_sha256, r.key, r.s_key) for r in got] == [(r.doc_id, r.n_removed, r.kept_sha256, 1, 4) for r in want]
+    benchmark = spark.createDataFrame([(1, "w1 w2"), (2, "W3")] + [(k, "w5") for k in range(10, 2010)], "item_id long, text string")
+    got, want = (decontaminate.decontaminate(x, benchmark, carry=c).orderBy("doc_id", "n_words").collect() for x, c in ((docs, ("doc_id", "text", "n_words", "key")), (plain, ("doc_id",))))
+    assert [(r.doc_id, r.n_words, r.n_hit, r["items"], r.key) for r in got] == [(r.doc_id, r.n_words, r.n_hit, r["items"], 1) for r in want]
+    assert max(len(r["items"]) for r in got) >= 2000
+
+
+def test_mixing_many_rows_of_one_key(spark, monkeypatch):
+    """Repeated rows and null ids draw alike; the bin in which the budget ends is split by all digits, then by row."""
+    monkeypatch.setattr(mixing, "SORTED", 3)
+    rows = [(1, "a b c", "x")] * 60 + [(None, "d e", "x")] * 40 + [(k, "f " * (k % 7), "y") for k in range(200)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    for s in ("x", "y"):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2
+        assert all(r.taken in (r.size * r.epochs, r.size * (r.epochs + 1)) for r in own)
+    monkeypatch.setattr(mixing, "SORTED", 50_000)
+    again = mixing.mix_sources(docs.repartition(7)).collect()
+    key = lambda r: (r.doc_id or -1, r.source or "", r.size, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(rows)
@@ -448,6 +487,21 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_unknown_families(spark, empty):
+    """Notices of licences that are no family confirm none, whatever words they share with the templates."""
+    unknown = [
+        "Proprietary Foo License, Version 2.0", "Licensed under the Zope Public License, Version 2.1.", "Released under the Foo License.", "This program is licensed under the Common Public License.",
+        'Licensed under the Mulan License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Licensed under the European Union Public Licence, Version 1.2.",
+        "This work is licensed under the Acme Lesser Public License, version 3.", "You must accept the license terms, Version 2.0.",
+    ]
+    known = {"Licensed under the Eclipse Public License, Version 2.0.": "EPL-2.0", "Licensed under the GNU Affero General Public License, version 3.": "AGPL"}
+    rows = [(k, t, "clash", "clash") for k, t in enumerate([*unknown, *known, "x " * 200_000 + "\nReleased under the MIT License.\n" + "y " * 200_000])]
+    rows += [rows[-2]] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, families string, found string")
+    got = sorted(license_scan.scan_licenses(docs, carry=("doc_id", "families", "found")).collect(), key=lambda r: r.doc_id)
+    assert [r.families for r in got] == [[]] * len(unknown) + [["EPL-2.0"]] + [["AGPL"]] * 3 + [["MIT"]]
+
+
 def test_license_scan_wrapped(spark):
     """Notices over several lines, with comment marks, beside other text and beside each other."""
     mit = """Copyright (c) 2020 Jane Doe
