@@ -76,7 +76,7 @@ def near_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values by event type and day, merged from hourly partial results."""
-    hourly = rollup(_t(spark, sf_dir, "events"), ["event_type"], "ts", "value", times.HOUR)
+    hourly = rollup(_t(spark, sf_dir, "events"), ["event_type"], "ts", "value", times.HOUR, 2)  # values are in hundredths
     daily = coarser(hourly, ["event_type"], 24)
     return daily.select("event_type", times.shown(F.col("bucket"), times.DAY, 10).alias("day"), "n", F.col("total").cast("double").alias("total"), "least", "most")
 
@@ -89,7 +89,7 @@ def quiet_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and type from a stream; the windows that the watermark has closed."""
-    events = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    events = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern that no other name fits
     told = windows.drained(windows.window_counts(events, "ts", ["event_type"], "1 hour", "2 hours"), "hours")
     return told.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import decimal
 import random
 import time
 
@@ -88,6 +89,16 @@ def test_rollup(spark):
     assert rollup(df.limit(0), ["k"], "at", "v", times.HOUR).count() == 0
 
 
+def test_rollup_sums_and_stray_times(spark):
+    df = spark.createDataFrame([("a", T0, 0.125), ("a", T0, 0.004), ("a", dt.datetime(2034, 1, 1), 1.0)], "k string, at timestamp_ntz, v double")
+    exact = rollup(df, ["k"], "at", "v", times.HOUR)
+    assert sorted(r["total"] for r in exact.collect()) == [0.129, 1.0]
+    assert sorted(r["total"] for r in rollup(df, ["k"], "at", "v", times.HOUR, 2).collect()) == [decimal.Decimal("0.13"), 1]
+    full = fill_gaps(exact, ["k"])
+    hours = int((dt.datetime(2034, 1, 1) - T0).total_seconds()) // 3600 + 1
+    assert full.agg(F.count("*"), F.countDistinct("bucket"), F.sum("n")).first() == (hours, hours, 3)
+
+
 @pytest.mark.parametrize("form", ["parquet", "orc", "json", "csv"])
 def test_stored(spark, form):
     df = spark.createDataFrame([(1, "x, \"y\"\n", "a"), (2, None, "a"), (3, "", "b"), (4, "ж", None)], "i int, t string, p string")
