@@ -68,7 +68,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_percen
     df = _prefix_sums(df, [(F.col("most") / F.col("weight")).asc(), *by_name], ["most", "weight"], "filled")
     df = materialise(df, "filled_sums")
     size, weight = df.agg(F.sum("source_size"), F.sum("weight")).first()  # two numbers
-    level = (F.lit(size or 0) * share_percent / F.lit(100.0) - F.col("most_before")) / (F.lit(weight or 0) - F.col("weight_before"))
+    level = (F.lit((size or 0) * share_percent / 100.0) - F.col("most_before")) / (F.lit(weight or 0) - F.col("weight_before"))
     df = df.withColumn("level", level)
     # The first source that is not filled to its cap sets the level for itself and all after it.
     at = df.filter(F.col("level") * F.col("weight") <= F.col("most")).agg(F.min(F.struct("place", "level"))["level"]).first()[0]
