@@ -66,3 +66,32 @@ def test_pipeline(spark, tables):
         start += len(x)
     got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).orderBy("start").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_pipeline_resumes(spark, monkeypatch):
+    """A run in a folder of its own goes on behind the last stage that was written whole."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    pytest.importorskip("public_tokenizers")
+    folder = f"{corpus_pipeline.shared.shared_dir(spark)}/test-{corpus_pipeline.shared.token()}"
+    first = sorted(map(tuple, corpus_pipeline.run(spark, SF, folder).collect()))
+    calls = []
+    spied = [(name, (lambda f, name: lambda *a: calls.append(name) or f(*a))(f, name)) for name, f in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", spied)
+    corpus_pipeline.shared.delete(spark, [f"{folder}/4-token_files"])
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF, folder).collect())) == first
+    assert calls == ["token_files"]
+
+
+def test_pipeline_clashing_columns(spark):
+    """Stages give back all columns, whatever they are called, and leave other scratch tables alone."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    shared = corpus_pipeline.shared
+    own = shared.materialise(spark.range(3), "own")
+    names = ["n_words", "kept", "q_text", "contaminated", "items", "mix_id", "mix_times", "size", "component_id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", *[f"{k} AS {c}" for k, c in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = shared.materialise(stage(spark, docs, SF), "stage")
+        assert out.columns == docs.columns
+        assert out.select(*names).distinct().collect() == [tuple(range(len(names)))]
+        docs = out
+    assert own.count() == 3
