@@ -55,9 +55,8 @@ class _Block:
         column = pa.array(list(ids_of), pa.large_string())
         hashes, rows = [], []
         for first, data, offsets in kernels.slices(column):
-            data = kernels.lower(data)
-            s, e, r = kernels.words(data, offsets, kernels.NOT_ALNUM)
-            hashes.append(kernels.span_hashes(data, s, e))
+            own, r = kernels.word_hashes(data, offsets, kernels.NOT_ALNUM)
+            hashes.append(own)
             rows.append(r + first)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         row = np.concatenate(rows) if rows else np.empty(0, np.int64)
@@ -173,11 +172,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
             n_words, n_hit, items, places = [], [], [], []
             shards = []
             for _, data, offsets in kernels.slices(batch.column(at_text)):
-                data = kernels.lower(data)
-                s, e, row = kernels.words(data, offsets, kernels.NOT_ALNUM)
+                hashes, row = kernels.word_hashes(data, offsets, kernels.NOT_ALNUM)
                 count = np.bincount(row, minlength=len(offsets) - 1)
-                hit = np.zeros(len(s) + 1, np.int64)
-                shards.append((kernels.span_hashes(data, s, e), row, count, hit, [set() for _ in count], [[] for _ in count]))
+                hit = np.zeros(len(hashes) + 1, np.int64)
+                shards.append((hashes, row, count, hit, [set() for _ in count], [[] for _ in count]))
             for k in range(n_blocks):
                 block = _block(path, k, width)
                 for hashes, row, count, hit, ids, spans in shards:

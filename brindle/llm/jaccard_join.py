@@ -60,9 +60,7 @@ HEAVY = 200_000
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row, hash) of the shingle sets of runs of texts."""
     for first, data, offsets in kernels.slices(column):
-        data = kernels.lower(data)
-        s, e, row = kernels.words(data, offsets, kernels.SPACE)
-        rows, value = kernels.shingles(kernels.span_hashes(data, s, e), row, len(offsets) - 1, k)
+        rows, value = kernels.shingles(*kernels.word_hashes(data, offsets, kernels.SPACE), len(offsets) - 1, k)
         yield first, len(offsets) - 1, rows, value
 
 

@@ -2,7 +2,7 @@
 
 Every kernel works on whole texts.  ``slices`` cuts a column into runs of rows
 of half a MB so that temporaries stay bounded; one text longer than a run is a
-run of its own.  Hashes are 64 bits wide and mix each block of bytes before the
+run of its own, and is read in pieces.  Hashes are 64 bits wide and mix each block of bytes before the
 next comes in, so strings of regular build have no collisions by their build.
 """
 
@@ -129,6 +129,30 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return value
 
 
+#: Bytes of one text that are read at once; a longer text is read in pieces, so that temporaries stay bounded.
+PIECE = 4_000_000
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the words of a run of texts, A-Z as a-z; a text that is longer than a piece must be a run of its own."""
+    if len(data) <= piece or len(offsets) > 2:
+        data = lower(data)
+        starts, ends, row = words(data, offsets, breaks)
+        return span_hashes(data, starts, ends), row
+    out, begin = [], 0
+    between = breaks[lower(np.arange(256, dtype=np.uint8))]
+    while begin < len(data):
+        end = min(begin + piece, len(data))
+        while end < len(data) and not between[data[end - 1]]:  # on to the end of a word
+            gap = np.flatnonzero(between[data[end : end + piece]])
+            end = end + int(gap[0]) + 1 if len(gap) else min(end + piece, len(data))
+        part = data[begin:end]
+        out.append(word_hashes(part, np.array([0, len(part)]), breaks, len(part))[0])
+        begin = end
+    value = np.concatenate(out)
+    return value, np.zeros(len(value), np.int64)
+
+
 def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
     """Whether each span holds the same bytes as its counterpart in ``other``."""
     size = ends - starts

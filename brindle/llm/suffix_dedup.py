@@ -99,6 +99,16 @@ def _phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return np.searchsorted(offsets, first, side="right") - 1, hashes[a].view(np.int64), first, last, a - first
 
 
+def _in_pieces(data: np.ndarray, offsets: np.ndarray, length: int, piece: int = kernels.PIECE) -> Iterator[tuple[np.ndarray, ...]]:
+    """The phrases; those of a long text piece by piece, so that one at the end of a piece may be two."""
+    step = piece if len(offsets) == 2 else max(len(data), 1)
+    for begin in range(0, len(data), step):
+        part = data[begin : begin + step + length - 1]
+        row, h, a, b, p = _phrases(part, offsets if step >= len(data) else np.array([0, len(part)]), length)
+        if len(row):
+            yield row, h, a + begin, b + begin, p
+
+
 _PHRASE = "h long, f1 long, f2 long, key long, key2 long, a long, b long, p long"
 
 
@@ -109,9 +119,8 @@ def _all_phrases(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for _, data, offsets in kernels.slices(batch.column(0)):
                 offsets = offsets[np.append(True, np.diff(offsets) > 0)]
-                row, h, a, b, p = _phrases(data, offsets, length)
-                if len(row):
-                    key, key2 = _text_key(data, offsets)
+                key, key2 = _text_key(data, offsets)
+                for row, h, a, b, p in _in_pieces(data, offsets, length):
                     at = offsets[row]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, *_digests(data, a, b + length), key[row], key2[row], a - at, b - at, p)], names=["h", "f1", "f2", "key", "key2", "a", "b", "p"])
         kernels.release()

@@ -141,6 +141,24 @@ def test_token_pieces_fuzz():
         kernels.span_hashes = real
 
 
+def test_long_texts_in_pieces():
+    """Words and phrases of a text read in small pieces are those of the whole; no window is lost or told twice."""
+    draw = random.Random(6)
+    text = "".join(draw.choice(["ab", "Cde ", " ", "\n", "longer", "\u00e9\u4e2d "]) for _ in range(3000)).encode() + b"x" * 500
+    data = np.frombuffer(text, np.uint8)
+    offsets = np.array([0, len(data)])
+    for breaks in (kernels.SPACE, kernels.NOT_ALNUM):
+        whole = kernels.word_hashes(data, offsets, breaks)[0]
+        for piece in (1, 7, 64, 1000):
+            assert np.array_equal(kernels.word_hashes(data, offsets, breaks, piece)[0], whole)
+    anchors = lambda found: {w: h for _, hs, a, b, _ in found for h, x, y in zip(hs.tolist(), a.tolist(), b.tolist()) for w in range(x, y + 1)}
+    whole = anchors(suffix_dedup._in_pieces(data, offsets, 400))
+    assert sorted(whole) == list(range(len(data) - 399))
+    for piece in (300, 1000, 5000):
+        found = list(suffix_dedup._in_pieces(data, offsets, 400, piece))
+        assert anchors(found) == whole and sum(int((b - a + 1).sum()) for _, _, a, b, _ in found) == len(whole)
+
+
 def twins(n):
     """Two strings of n letters whose polynomial hashes modulo a power of two agree (Thue and Morse)."""
     bits = [bin(k).count("1") % 2 for k in range(n)]
