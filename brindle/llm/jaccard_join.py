@@ -24,7 +24,10 @@ hashes of their n-grams; apart from chance collisions of these it is exact.
    reach the overlap that their sizes ask for are discarded.  Of the links, a
    spanning forest leaves the task, so copies are never expanded into pairs.
 5. A pivot with many documents is cut into tiles of ``TILE`` documents.  First
-   each tile is multiplied with itself and the pivot.  Then only documents
+   each tile is multiplied with itself and the pivot.  Then one document of each
+   component found so far stands for it: these are tiled and multiplied again, with
+   that of the largest component in each tile, which joins most copies whose pivot
+   is no copy of theirs.  Then only documents
    outside the largest component of the pivot are left to compare with all its
    documents, tile by tile: pairs of one component need no more looking at.
 
@@ -51,6 +54,8 @@ from .shared import materialise, small
 
 #: Documents of one tile of a large block.
 TILE = 64
+#: How often representatives of a large block's components are compared before all that is left is.
+ROUNDS = 2
 #: Shingles that a task counts together when it looks for frequent ones.
 COUNTED = 2_000_000
 #: At most this many frequent n-grams are put last in the order.
@@ -299,6 +304,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = T
     edges = edges.union(repeats)
     large = members.filter(F.col("n") > tile)
     if large.limit(1).count():
+        for _ in range(ROUNDS):
+            more = _representatives(docs, large, components(edges), k, percent, tile)
+            if more is None:
+                break
+            edges = materialise(edges.union(more), "edges_of_representatives")
         labels = components(edges)
         edges = materialise(edges.union(_across(docs, large, labels, k, percent, tile)), "edges2")
     labels = components(edges)
@@ -306,17 +316,28 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = T
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _within(docs: DataFrame, members: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
-    """Edges inside each block, or inside each tile of a large block (with the block's pivot in each tile)."""
+def _within(docs: DataFrame, members: DataFrame, k: int, percent: int, tile: int, hub: str = "pivot") -> DataFrame:
+    """Edges inside each block, or inside each tile of a large block (with the block's pivot, or another hub, in each tile)."""
     tiles = F.ceil(F.col("n") / tile)
     salt = F.pmod(F.xxhash64("doc_id", "pivot"), tiles).cast("int")
-    rows = members.select("pivot", salt.alias("tile"), "doc_id").filter("doc_id <> pivot")
-    rows = rows.union(rows.select("pivot", "tile", F.col("pivot").alias("doc_id")).distinct())
+    rows = members.select("pivot", salt.alias("tile"), "doc_id", F.col(hub).alias("hub")).filter("doc_id <> hub")
+    rows = rows.select("pivot", "tile", "doc_id").union(rows.select("pivot", "tile", "hub").distinct())
     numbers = _numbered(rows, ["pivot", "tile"])
     placed = materialise(rows.join(numbers, ["pivot", "tile"]).select("part", F.lit(0).alias("side"), "doc_id"), "tiles")
     return _multiply(_placed(docs, placed), k, percent)
 
 
+def _representatives(docs: DataFrame, large: DataFrame, labels: DataFrame, k: int, percent: int, tile: int) -> DataFrame | None:
+    """Edges between one document of each component of a large block, tile by tile, with that of the largest in each tile."""
+    labelled = large.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("pivot", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    one = materialise(labelled.groupBy("pivot", "c").agg(F.count("*").alias("size"), F.min("doc_id").alias("doc_id")), "representatives")
+    blocks = one.groupBy("pivot").agg(F.count("*").alias("n"), F.max(F.struct("size", "doc_id"))["doc_id"].alias("hub")).filter("n > 1")
+    blocks = materialise(blocks, "blocks_of_representatives")
+    if not blocks.limit(1).count():
+        return None
+    return _within(docs, one.join(small(blocks), "pivot").select("pivot", "doc_id", "n", "hub"), k, percent, tile, "hub")
+
+
 def _across(docs: DataFrame, large: DataFrame, labels: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
     """Edges between documents of one large block in different components."""
     labelled = large.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("pivot", "doc_id", F.coalesce("component", "doc_id").alias("c"))
