@@ -54,6 +54,8 @@ from .shared import materialise, small
 
 #: Documents of one tile of a large block.
 TILE = 64
+#: A list of wanted ids, eight bytes each, may be broadcast up to this length.
+WANTED = 1_000_000
 #: How often representatives of a large block's components are compared before all that is left is.
 ROUNDS = 2
 #: Shingles that a task counts together when it looks for frequent ones.
@@ -256,6 +258,9 @@ def _placed(docs: DataFrame, rows: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").alias("t_id"), "text")
+    # A document may have many rows: first the texts of all others go, by a list of ids alone, where that is small.
+    ids = materialise(rows.select(F.col("doc_id").alias("w_id")).distinct(), "wanted")
+    texts = texts.join(small(ids, WANTED), F.col("t_id") == F.col("w_id"), "left_semi")
     joined = texts.join(small(rows), F.col("t_id") == F.col("doc_id"))
     return joined.select("part", "side", "doc_id", "text").repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part", "side", "doc_id")
 
