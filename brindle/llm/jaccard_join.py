@@ -29,7 +29,9 @@ hashes of their n-grams; apart from chance collisions of these it is exact.
    that of the largest component in each tile, which joins most copies whose pivot
    is no copy of theirs.  Then only documents
    outside the largest component of the pivot are left to compare with all its
-   documents, tile by tile: pairs of one component need no more looking at.
+   documents: pairs of one component need no more looking at.  For that the sets of
+   the block are written once, tile by tile, to the shared folder; tasks get the
+   places of pairs of tiles and read them there, so texts are not sent to each pair.
 
 Cases: a null or empty text has an empty set and links with nothing; fewer than
 k words are one shingle.  Rows with equal doc_id count as one document, which links
@@ -50,10 +52,14 @@ from pyspark.sql.window import Window
 
 from . import kernels
 from .components import components
-from .shared import materialise, small
+from .shared import filesystem_of, materialise, new_path, small, token
 
 #: Documents of one tile of a large block.
 TILE = 64
+#: A tile that is written once holds so many times as many documents, or about so many bytes of sets.
+WIDE, STORED_BYTES = 4, 8_000_000
+#: A stored tile is compared with so many others in a run.
+RUN = 16
 #: A list of wanted ids, eight bytes each, may be broadcast up to this length.
 WANTED = 1_000_000
 #: How often representatives of a large block's components are compared before all that is left is.
@@ -200,11 +206,11 @@ def _product(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percen
     return rows[i], cols[j]
 
 
-def _links(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among documents, or between the two sides."""
+def _links(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None, percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among documents, or between the two sides; without links inside known components."""
     edges, forest = [], _Forest(len(ids))
     first = {}
-    for x, d in enumerate(ids):  # rows of one document
+    for x, d in enumerate(known or ids):  # rows of one document
         if forest.join(first.setdefault(d, x), x):
             pass
     left, right = (np.arange(len(ids)),) * 2 if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
@@ -250,19 +256,23 @@ def _multiply(parts: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _placed(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Texts of (part, side, doc_id), each part in one task, the parts dealt out evenly.
+    """Texts of (part, any other column, doc_id), each part in one task, the parts dealt out evenly.
 
     A part is a task's unit of work; parts are numbered by their place, so that
     numbers, not hashes, deal them out.
     """
-    spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").alias("t_id"), "text")
     # A document may have many rows: first the texts of all others go, by a list of ids alone, where that is small.
     ids = materialise(rows.select(F.col("doc_id").alias("w_id")).distinct(), "wanted")
     texts = texts.join(small(ids, WANTED), F.col("t_id") == F.col("w_id"), "left_semi")
     joined = texts.join(small(rows), F.col("t_id") == F.col("doc_id"))
-    return joined.select("part", "side", "doc_id", "text").repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part", "side", "doc_id")
+    return _dealt(joined.select(*rows.columns, "text")).sortWithinPartitions(*rows.columns)
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows of a part to one partition, by the part's number."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionById(n, F.pmod("part", F.lit(n)).cast("int"))
 
 
 def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -351,12 +361,98 @@ def _across(docs: DataFrame, large: DataFrame, labels: DataFrame, k: int, percen
     largest = counts.groupBy("pivot").agg(F.max(F.struct("n", "c")).alias("x"), F.sum("n").alias("all")).select("pivot", F.col("x.c").alias("main"), F.col("all"), (F.col("all") - F.col("x.n")).alias("minor"))
     largest = materialise(largest.filter("minor > 0"), "largest")
     both = labelled.join(small(largest), "pivot")
-    salt = lambda n, seed: F.pmod(F.xxhash64("doc_id", "pivot", F.lit(seed)), F.ceil(F.col(n) / tile)).cast("int")
-    every = F.expr(f"sequence(0, cast(ceil(all / {tile}) AS int) - 1)")
-    minors = F.expr(f"sequence(0, cast(ceil(minor / {tile}) AS int) - 1)")
-    left = both.filter("c <> main").select("pivot", salt("minor", 1).alias("x"), F.explode(every).alias("y"), F.lit(0).alias("side"), "doc_id")
-    right = both.select("pivot", F.explode(minors).alias("x"), salt("all", 2).alias("y"), F.lit(1).alias("side"), "doc_id")
-    rows = left.union(right)
-    numbers = _numbered(rows, ["pivot", "x", "y"])
-    placed = materialise(rows.join(numbers, ["pivot", "x", "y"]).select("part", "side", "doc_id"), "tile_pairs")
-    return _multiply(_placed(docs, placed), k, percent)
+    wide = WIDE * tile
+    many = lambda n: F.ceil(n / wide).cast("int")
+    minors, mains = many(F.col("minor")), many(F.col("all") - F.col("minor"))
+    salt = F.xxhash64("doc_id", "pivot")
+    # Tiles outside the largest component have the lower numbers.
+    rows = both.select("pivot", F.when(F.col("c") != F.col("main"), F.pmod(salt, minors)).otherwise(minors + F.pmod(salt, mains)).cast("int").alias("tile"), "c", "doc_id")
+    numbers = _numbered(rows, ["pivot", "tile"])
+    placed = materialise(rows.join(numbers, ["pivot", "tile"]).select("part", "c", "doc_id"), "wide_tiles")
+    folder = new_path(docs.sparkSession, "tile_sets")
+    stored = materialise(_stored(_placed(docs, placed), folder, k), "stored")
+    places = materialise(stored.join(small(numbers), "part").select("pivot", "tile", "piece", F.struct("file", "at", "size").alias("place")), "places")
+    left = places.join(small(largest), "pivot").filter(F.col("tile") < minors)
+    left = left.select("pivot", F.col("tile").alias("x"), F.col("piece").alias("x_piece"), F.col("place").alias("x_place"), F.explode(F.sequence("tile", minors + mains - 1)).alias("tile"))
+    pairs = left.join(small(places), ["pivot", "tile"]).filter((F.col("x") < F.col("tile")) | (F.col("x_piece") <= F.col("piece")))
+    pairs = materialise(pairs.select("pivot", "x", F.floor(F.col("tile") / RUN).alias("run"), F.col("x_place").alias("left"), F.col("place").alias("right")), "tile_pairs")
+    runs = _numbered(pairs, ["pivot", "x", "run"])
+    return _compare(pairs.join(runs, ["pivot", "x", "run"]).select("part", "left", "right"), folder, percent)
+
+
+def _stored(parts: DataFrame, folder: str, k: int) -> DataFrame:
+    """Write the n-gram sets of each part once, in pieces; where each is.  parts: (part, c, doc_id, text), a part's rows together.
+
+    A piece is 64-bit numbers: how many documents, their ids, known components and set
+    sizes, then the sets.  A task's file has a name of its own, so one that runs twice
+    does no harm.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = filesystem_of(folder)
+        name, file = token(), None
+        at = piece = end = held = 0
+        rows: list[tuple[int, int]] = []
+        sets: list[np.ndarray] = []
+
+        def write() -> pa.RecordBatch:
+            nonlocal file, piece, end, held, rows, sets
+            if file is None:
+                filesystem.create_dir(root, recursive=True)
+                file = filesystem.open_output_stream(f"{root}/{name}")
+            raw = np.concatenate([[len(rows)], *np.array(rows, np.int64).T, [len(s) for s in sets], *(s.view(np.int64) for s in sets)]).astype("<i8").tobytes()
+            file.write(raw)
+            place = pa.RecordBatch.from_pydict({"part": [at], "piece": pa.array([piece], pa.int32()), "file": [name], "at": [end], "size": [len(raw)]})
+            piece, end, held, rows, sets = piece + 1, end + len(raw), 0, [], []
+            return place
+
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for _, n, row, value in _sets(batch.column(3), k):
+                found += np.split(value, np.cumsum(np.bincount(row, minlength=n))[:-1])
+            for x, (part, c, doc) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if rows and (part != at or held >= STORED_BYTES):
+                    yield write()
+                if part != at:
+                    at, piece = part, 0
+                rows.append((doc, c))
+                sets.append(found[x])
+                held += found[x].nbytes
+        if rows:
+            yield write()
+        if file is not None:
+            file.close()
+        kernels.release()
+
+    return parts.select("part", "c", "doc_id", "text").mapInArrow(run, "part long, piece int, file string, at long, size long")
+
+
+def _compare(pairs: DataFrame, folder: str, percent: int) -> DataFrame:
+    """Edges (a, b) between known components in pairs of stored pieces; pairs: (part, left, right)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = filesystem_of(folder)
+
+        def read(place: dict) -> tuple[list[int], list[int], list[np.ndarray]]:
+            with filesystem.open_input_file(f"{root}/{place['file']}") as file:
+                raw = np.frombuffer(file.read_at(place["size"], place["at"]), "<i8")
+            n = int(raw[0])
+            ids, known, sizes = raw[1 : 3 * n + 1].reshape(3, n)
+            return ids.tolist(), known.tolist(), np.split(raw[3 * n + 1 :].view(np.uint64), np.cumsum(sizes)[:-1])
+
+        at = None
+        for batch in batches:
+            for left, right in zip(*(batch.column(c).to_pylist() for c in (1, 2)), strict=True):
+                if left != at:
+                    at, held = left, read(left)
+                ids, known, sets = held
+                side = None
+                if left != right:
+                    ids, known, sets = (x + y for x, y in zip(held, read(right), strict=True))
+                    side = np.repeat([0, 1], [len(held[0]), len(ids) - len(held[0])])
+                edges = _links(ids, sets, side, percent, known)
+                if edges:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+        kernels.release()
+
+    return _dealt(pairs.select("part", "left", "right")).sortWithinPartitions("part", "left", "right").mapInArrow(run, "a long, b long")

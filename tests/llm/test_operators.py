@@ -238,6 +238,26 @@ def test_jaccard_join_repeated_ids(spark):
         assert collections.Counter(tuple(r) for r in got) == groups(rows)
 
 
+def test_jaccard_join_alike_but_not_linked(spark, monkeypatch):
+    """A large block of documents that mostly do not link sends its texts a few times, not once for each pair of tiles."""
+    draw = random.Random(8)
+    base, rows = [f"v{k}" for k in range(120)], []
+    for k in range(300):
+        words = list(base)
+        for x in draw.sample(range(120), draw.randrange(2, 5)):
+            words[x] = f"u{draw.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(0, rows[7][1]), (300, rows[9][1]), (None, rows[1][1])]
+    sent, placed = [], jaccard_join._placed
+    monkeypatch.setattr(jaccard_join, "_placed", lambda docs, parts: sent.append(parts.count()) or placed(docs, parts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "STORED_BYTES", 5000, raising=False)  # pieces of a few documents
+    want = groups(rows)
+    assert len({c for _, _, c in want}) > 50
+    assert collections.Counter(tuple(r) for r in jaccard_join.jaccard_groups(docs, tile=6).collect()) == want
+    assert sum(sent) < 10 * len(rows)
+
+
 def test_chat_format(spark):
     hard = ["[INST] a [/INST]", "</s>", "\\", "\\\\b[", "x\\l", "<s></s>[SYS]", "[TURN x] [/TURN]", "[/INST", "", None, "]", "é\n\n"]
     draw = random.Random(3)
